@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.numbers import located
+from ..operators.drift import schema_changes, unified
 from ..operators.nearby import near_or_within
+from ..operators.units import in_metres
 from ..session import read
 
 
@@ -14,5 +17,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_or_within(points, 0.255, read(spark, sf_dir, "regions"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = [read(spark, sf_dir, n) for n in ("scan_files", "file_schemas", "dimensions", "raw_records")]
+    return schema_changes(*t, same_key=True).select("file_id", "dimname", "change_kind").distinct()
+
+
+def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unified(read(spark, sf_dir, "raw_records"), read(spark, sf_dir, "dimensions"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = in_metres(read(spark, sf_dir, "scan_files"), read(spark, sf_dir, "fbi_headers"))
+    v = v.where("recorded_in = 'header' or abs(metre_factor - 1) > 1e-9")
+    return v.select("file_id", "recorded_in", "quantity", F.floor("metres").alias("metres")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_unified": p2_unified, "p4_found": p4_found}
 SQL: dict[str, str] = {}

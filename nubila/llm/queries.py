@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import located
+from ..functions.numbers import located, number, with_location
 from ..session import read
+from .encode import encoded
 from .mcl import describe, markov_clusters
+from .percentiles import merged, sketches, wide_groups, _stacked
+from .reading import reading_bands
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +25,34 @@ def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(_clusters(spark, sf_dir))
 
 
-QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters}
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = with_location(read(spark, sf_dir, "point_features"))
+    located_z = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("z"))
+    return p.select("file_id", "pointsourceid", "captured_at", located_z.alias("z"), number(F.col("prop_intensity")).alias("intensity"), number(F.col("prop_returnnumber")).alias("returnnumber"))
+
+
+#: A group is reported where its 95th percentile exceeds its 5th by more than this.
+LIMITS = {"z": 50.0, "intensity": 1200.0, "returnnumber": 2.5}
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit = F.create_map(*(F.lit(x) for kv in LIMITS.items() for x in kv))
+    return wide_groups(_measured(spark, sf_dir)).where(F.col("p95") - F.col("p5") > F.element_at(limit, F.col("field"))).select("field", "group_id")
+
+
+def p5_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intensity of each flight line: sketches of days, merged."""
+    day = sketches(_measured(spark, sf_dir).withColumn("day", F.to_date("captured_at")), ["pointsourceid", "day"], {"intensity": F.col("intensity")})
+    return _stacked([(merged(day, ["pointsourceid"], ["intensity"]), "pointsourceid", "intensity")])
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(read(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_bands(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_labels")).select("doc_id", "band")
+
+
+QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_by_day": p5_by_day, "p6_ids": p6_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}

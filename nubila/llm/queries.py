@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import located, number, with_location
 from ..session import read
 from .encode import encoded
+from .leakage import leaks, removal_spans
 from .mcl import describe, markov_clusters
 from .percentiles import merged, sketches, wide_groups, _stacked
 from .reading import reading_bands
@@ -50,9 +51,17 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(read(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("item_id", "doc_id").distinct()
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_spans(leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_bands(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_labels")).select("doc_id", "band")
 
 
-QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_by_day": p5_by_day, "p6_ids": p6_ids, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_by_day": p5_by_day, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
 SQL: dict[str, str] = {}

@@ -196,8 +196,8 @@ def csf(df: DataFrame, resolution: float = 1.0, step: float = 0.65, threshold: f
     x0, y0, cols, rows = b
     low = _cells(src, x0, y0, resolution).groupBy("c", "r").agg(F.min("Z").alias("z"))
     gravity = 0.2 * step * step
-    # of a pair of particles both movable, each moves this share of their difference
-    share = [0.0, 0.3, 0.51, 0.657, 0.7599, 0.83193, 0.88235, 0.91765, 0.94235, 0.95965][min(9, rigidness)] / 2
+    # of a pair of particles both movable each moves half of what ``rigidness`` moves of three tenths leave of their difference
+    share = (1 - 0.7**rigidness) / 2
 
     def kernel(z, _):
         ground = -fill_nearest(z)  # inverted: the cloth falls from above onto it

@@ -323,7 +323,7 @@ def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, col
     both = left.withColumns({"_s": F.lit(None).cast(r.schema["_s"].dataType), "_left": F.lit(True)}).unionByName(r.withColumn("_left", F.lit(False)), allowMissingColumns=True)
     both = both.withColumn("_b", F.floor(F.col("_t") / bucket))
     w = Window.partitionBy("_b").orderBy("_t", "_left")
-    up, down = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("_b").orderBy(F.desc("_t"), F.desc("_left")).rowsBetween(Window.unboundedPreceding, 0)
+    up, down = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("_b").orderBy(F.desc("_t"), "_left").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumns({"_before": F.last("_s", True).over(up), "_after": F.last("_s", True).over(down)}).where("_left")
     ends = r.withColumn("_b", F.floor(F.col("_t") / bucket)).groupBy("_b").agg(F.max_by("_s", "_t").alias("_last"), F.min_by("_s", "_t").alias("_first"))
     have = left.select(F.floor(F.col("_t") / bucket).alias("_b")).distinct()

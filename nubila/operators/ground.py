@@ -14,7 +14,7 @@ from ..functions.expression import range_condition
 from ..spatial.components import independent
 from ..spatial.neighbors import radius_join
 from ..spatial.tiles import dilate, erode, fill_nearest, grid_kernel
-from .select import _beside
+from .select import _beside, prefixed, ranged
 
 
 def _classified(df: DataFrame, value) -> DataFrame:
@@ -43,13 +43,11 @@ def skewnessbalancing(df: DataFrame, ground_class: int = 2, other_class: int = 1
     """
     mean = df.agg(F.avg("Z").alias("_m"))
     d = df.crossJoin(F.broadcast(mean)).select("pid", "Z", (F.col("Z") - F.col("_m")).alias("v"))  # one row
-    r = d.repartitionByRange(d.sparkSession.sparkContext.defaultParallelism, "Z", "pid").withColumn("_part", F.spark_partition_id())
+    r = ranged(d, "Z", "pid")
     powers = {"n": F.lit(1.0), "s1": F.col("v"), "s2": F.col("v") ** 2, "s3": F.col("v") ** 3}
     w = Window.partitionBy("_part").orderBy("Z", "pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = r.withColumns({f"c_{k}": F.sum(v).over(w) for k, v in powers.items()})
-    o = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    t = r.groupBy("_part").agg(*(F.sum(v).alias(f"t_{k}") for k, v in powers.items()))
-    t = t.select("_part", *(F.coalesce(F.sum(f"t_{k}").over(o), F.lit(0.0)).alias(f"b_{k}") for k in powers))
+    t = prefixed(r, [], {f"b_{k}": F.sum(v) for k, v in powers.items()})
     run = run.join(F.broadcast(t), "_part").withColumns({k: F.col(f"c_{k}") + F.col(f"b_{k}") for k in powers})
 
     def skew(n, s1, s2, s3):

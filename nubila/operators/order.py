@@ -10,13 +10,13 @@ from ..functions.dims import drop_view
 
 def renumbered(df: DataFrame, *order: Column) -> DataFrame:
     """``pid`` = place in ``order``; sorted by ranges, so that no task holds all rows."""
+    from .select import prefixed, ranged
+
     view = drop_view(df)
-    r = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, *view, *order).withColumn("_part", F.spark_partition_id())
-    r = r.withColumn("_n", F.row_number().over(Window.partitionBy(*view, "_part").orderBy(*order)))
-    c = r.groupBy(*view, "_part").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*view).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.select(*view, "_part", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"))  # one row a partition
-    return r.join(F.broadcast(c), [*view, "_part"]).withColumn("pid", (F.col("_n") - 1 + F.col("_before")).cast("bigint")).drop("_part", "_n", "_before").select(*df.columns)
+    r = ranged(df, *order)
+    before = prefixed(r, view, {"_before": F.count(F.lit(1))})
+    n = F.row_number().over(Window.partitionBy(*view, "_part").orderBy(*order))
+    return r.withColumn("_n", n).join(F.broadcast(before), [*view, "_part"]).withColumn("pid", (F.col("_n") - 1 + F.col("_before")).cast("bigint")).select(*df.columns)
 
 
 def sort(df: DataFrame, *dimensions: str, order: str = "ASC") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import drop_view, rounded
 from ..functions.expression import condition
-from .select import positions
+from .select import positions, prefixed, ranged
 
 
 def groupby(df: DataFrame, dimension: str) -> DataFrame:
@@ -42,14 +42,11 @@ def divider(df: DataFrame, mode: str = "partition", count: int | None = None, ca
 def running_sum(df: DataFrame, column: str, name: str = "_sum", before: bool = False) -> DataFrame:
     """Sum of ``column`` over the rows up to each (``before``: without it) in pid order, ranges first, then their totals."""
     view = drop_view(df)
-    r = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, *view, "pid").withColumn("_part", F.spark_partition_id())
+    r = ranged(df, "pid")
+    before_ = prefixed(r, view, {"_before": F.sum(column)})
     w = Window.partitionBy(*view, "_part").orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = r.withColumn(name, F.sum(column).over(w))
-    t = r.groupBy(*view, "_part").agg(F.sum(column).alias("_t"))
-    o = Window.partitionBy(*view).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.select(*view, "_part", F.coalesce(F.sum("_t").over(o), F.lit(0)).alias("_before"))
     total = F.col(name) + F.col("_before") - (F.col(column) if before else F.lit(0))
-    return r.join(F.broadcast(t), [*view, "_part"]).withColumn(name, total).drop("_part", "_before")
+    return r.withColumn(name, F.sum(column).over(w)).join(F.broadcast(before_), [*view, "_part"]).withColumn(name, total).drop("_part", "_before")
 
 
 def splitter(df: DataFrame, length: float = 1000.0, origin_x: float | None = None, origin_y: float | None = None, buffer: float = 0.0) -> DataFrame:

@@ -13,7 +13,7 @@ from ..session import staged
 from ..spatial.components import independent
 from ..spatial.neighbors import radius_join
 from .assign import _type
-from .select import _beside
+from .select import _beside, ranged
 
 
 def _first(df: DataFrame, **cols: Column) -> DataFrame:
@@ -145,8 +145,7 @@ def label_duplicates(df: DataFrame, *dimensions: str) -> DataFrame:
     """Duplicate = 1 where all dimensions equal those of the row before it in order."""
 
     view = drop_view(df)
-    parts = df.sparkSession.sparkContext.defaultParallelism
-    r = df.repartitionByRange(parts, *view, "pid").withColumn("_part", F.spark_partition_id())
+    r = ranged(df, "pid")
     key = F.struct(*dimensions)
     w = Window.partitionBy(*view, "_part").orderBy("pid")
     r = r.withColumn("_prev", F.lag(key).over(w))

@@ -12,22 +12,37 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import drop_view
 from ..functions.expression import condition, json_condition, range_condition
+from ..session import staged
+
+
+def ranged(df: DataFrame, *order) -> DataFrame:
+    """Rows with ``_part``, the number of their range in ``order`` (views first), written once.
+
+    The ranges come from a sample that differs from one evaluation to the next,
+    so what is numbered by them must be one evaluation: it is staged.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(df.repartitionByRange(parts, *drop_view(df), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def prefixed(df: DataFrame, view: list[str], totals: dict[str, Column]) -> DataFrame:
+    """(view, _part, name: the sum of the total over the ranges before it); a row a range."""
+    t = df.groupBy(*view, "_part").agg(*(c.alias(f"_t_{n}") for n, c in totals.items()))
+    w = Window.partitionBy(*view).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return t.select(*view, "_part", *(F.coalesce(F.sum(f"_t_{n}").over(w), F.lit(0)).alias(n) for n in totals))
 
 
 def positions(df: DataFrame, name: str = "pos") -> DataFrame:
     """Dense 0-based position in pid order, within the view where there is one.
 
-    Without views the order is global: rows are range-partitioned, numbered in
-    their partition, and moved by the counts before it, so that no task sorts all.
+    Rows are numbered in their range and moved by the counts before it, so that
+    no task sorts all.
     """
     view = drop_view(df)
-    parts = df.sparkSession.sparkContext.defaultParallelism
-    r = df.repartitionByRange(parts, *view, "pid").withColumn("_part", F.spark_partition_id())
-    r = r.withColumn("_n", F.row_number().over(Window.partitionBy(*view, "_part").orderBy("pid")))
-    before = r.groupBy(*view, "_part").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*view).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1) if view else Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")  # one row a partition
-    return r.join(F.broadcast(before), [*view, "_part"]).withColumn(name, F.col("_n") - 1 + F.col("_before")).drop("_part", "_n", "_before")
+    r = ranged(df, "pid")
+    before = prefixed(r, view, {"_before": F.count(F.lit(1))})
+    n = F.row_number().over(Window.partitionBy(*view, "_part").orderBy("pid"))
+    return r.withColumn("_n", n).join(F.broadcast(before), [*view, "_part"]).withColumn(name, F.col("_n") - 1 + F.col("_before")).drop("_part", "_n", "_before")
 
 
 def expression(df: DataFrame, *expressions: str) -> DataFrame:
@@ -175,8 +190,8 @@ def order_statistics(df: DataFrame, dimension: str | Column, shares: dict[str, f
     view = drop_view(df)
     x = F.col(dimension) if isinstance(dimension, str) else dimension
     c = df.select(*view, x.cast("double").alias("v")).groupBy(*view, "v").agg(F.count(F.lit(1)).alias("c"))
-    parts = df.sparkSession.sparkContext.defaultParallelism
-    c = c.repartitionByRange(parts, *view, "v").withColumn("_part", F.spark_partition_id())
+    # with its view as a plain column, c is staged by ranges of views and values
+    c = ranged(c, "v")
     totals = c.groupBy(*view, "_part").agg(F.sum("c").alias("t"))
     w = Window.partitionBy(*view).orderBy("_part")
     totals = totals.withColumns({"before": F.coalesce(F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("t").over(Window.partitionBy(*view))})

@@ -47,14 +47,16 @@ def independent(nodes: DataFrame, links: DataFrame) -> DataFrame:
     e = e.join(r.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(r.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
     e = staged(e.where("rb < ra").select(F.col("a").alias("high"), F.col("b").alias("low")), "falls")
     dropped = None
-    while not e.isEmpty():
-        # kept now: lower ends that are no one's higher end
-        kept = e.select(F.col("low").alias("id")).distinct().join(e.select(F.col("high").alias("id")).distinct(), "id", "left_anti")
-        kept = staged(kept, "kept")
-        gone = staged(e.join(kept.withColumnRenamed("id", "low"), "low").select(F.col("high").alias("id")).distinct(), "gone")
+    left = e.count()
+    while left:
+        # kept now: lower ends that are no one's higher end; gone: what hangs on them
+        highs = e.select(F.col("high").alias("low")).distinct()
+        free = e.join(highs, "low", "left_anti")
+        gone = staged(free.select(F.col("high").alias("id")).distinct(), "gone")
         dropped = gone if dropped is None else dropped.unionByName(gone)
-        away = kept.unionByName(gone)
-        e = staged(e.join(away.withColumnRenamed("id", "high"), "high", "left_anti").join(away.withColumnRenamed("id", "low"), "low", "left_anti"), "falls")
+        # what is left has both ends neither kept nor gone; a kept row's links all lead to rows that are gone
+        e = staged(e.join(gone.withColumnRenamed("id", "high"), "high", "left_anti").join(gone.withColumnRenamed("id", "low"), "low", "left_anti"), "falls")
+        left = e.count()
     if dropped is None:
         return r.select("id", F.lit(True).alias("kept"))
     return r.select("id").join(dropped.withColumn("_gone", F.lit(True)), "id", "left").select("id", F.col("_gone").isNull().alias("kept"))

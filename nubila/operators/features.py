@@ -134,15 +134,17 @@ def planefit(df: DataFrame, knn: int = 8) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            p = np.array(pdf["p"].tolist(), dtype=float).reshape(len(pdf), -1, 3) if len(pdf) else np.empty((0, 1, 3))
-            if len(p):
+            size = pdf["p"].map(len)
+            for s in size.unique():
+                part = pdf[size == s]
+                p = np.array(part["p"].tolist(), dtype=float).reshape(len(part), -1, 3)
                 mean = p.mean(axis=1)
                 c = np.einsum("nki,nkj->nij", p - mean[:, None], p - mean[:, None])
                 v = np.linalg.eigh(c)[1][:, :, 0]
                 own = np.abs(np.einsum("ni,ni->n", -mean, v))
                 rest = np.abs(np.einsum("nki,ni->nk", p - mean[:, None], v)).mean(axis=1)
                 total = own + rest
-                yield pd.DataFrame({"pid": pdf["pid"], "PlaneFit": np.divide(own, total, out=np.zeros_like(own), where=total > 0)})
+                yield pd.DataFrame({"pid": part["pid"], "PlaneFit": np.divide(own, total, out=np.zeros_like(own), where=total > 0)})
 
     return _with(df, others.mapInPandas(run, "pid bigint, PlaneFit double"), PlaneFit=0.0)
 
@@ -180,32 +182,35 @@ def optimalneighborhood(df: DataFrame, min_k: int = 10, max_k: int = 14) -> Data
     return _with(df, others.mapInPandas(run, "pid bigint, OptimalKNN bigint, OptimalRadius double"), OptimalKNN=0, OptimalRadius=0.0)
 
 
-def smallest_ball(p: np.ndarray) -> tuple[np.ndarray, float]:
-    """Centre and radius of the smallest ball around points: moves towards the farthest, then an exact ball of its support."""
+def smallest_balls(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and radii of the smallest balls around n sets of k points (n x k x 3).
+
+    The ball is that of two to four of its points: all choices at once for all
+    sets, the smallest that holds every point.
+    """
     from itertools import combinations
 
-    def through(q):
-        a = q[1:] - q[0]
-        if not len(a):
-            return q[0], 0.0
-        g = a @ a.T
-        try:
-            x = np.linalg.solve(2 * g, np.einsum("ij,ij->i", a, a))
-        except np.linalg.LinAlgError:
-            return None
-        c = a.T @ x
-        return q[0] + c, float(np.linalg.norm(c))
-
-    scale = float(np.abs(p - p[0]).max()) if len(p) else 0.0
-    best = None
-    for n in range(1, min(4, len(p)) + 1):
-        for idx in combinations(range(len(p)), n):
-            ball = through(p[list(idx)])
-            if ball is not None and (best is None or ball[1] < best[1]) and np.linalg.norm(p - ball[0], axis=1).max() <= ball[1] + 1e-9 * (scale + 1):
-                best = ball
-        if best is not None and n == 1:
-            break
-    return best
+    n, k, _ = p.shape
+    scale = np.abs(p - p[:, :1]).max(axis=(1, 2)) + 1e-12
+    centre, radius = p[:, 0].copy(), np.full(n, np.inf)
+    alone = np.linalg.norm(p - p[:, :1], axis=2).max(axis=1) <= 1e-9 * scale
+    radius[alone] = 0.0
+    for size in range(2, min(4, k) + 1):
+        for idx in combinations(range(k), size):
+            q = p[:, idx]
+            a = q[:, 1:] - q[:, :1]
+            g = np.einsum("nik,njk->nij", a, a)
+            det = np.linalg.det(g)
+            ok = np.abs(det) > 1e-12 * scale ** (2 * (size - 1))
+            g[~ok] = np.eye(size - 1)
+            x = np.linalg.solve(2 * g, np.einsum("nik,nik->ni", a, a)[..., None])[..., 0]
+            off = np.einsum("ni,nik->nk", x, a)
+            r = np.linalg.norm(off, axis=1)
+            c = q[:, 0] + off
+            holds = np.linalg.norm(p - c[:, None], axis=2).max(axis=1) <= r + 1e-9 * scale
+            better = ok & holds & (r < radius)
+            centre[better], radius[better] = c[better], r[better]
+    return centre, radius
 
 
 def miniball(df: DataFrame, knn: int = 8) -> DataFrame:
@@ -214,12 +219,12 @@ def miniball(df: DataFrame, knn: int = 8) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for flat in pdf["p"]:
-                c, r = smallest_ball(np.asarray(flat, dtype=float).reshape(-1, 3))
-                d = float(np.linalg.norm(c))
+            size = pdf["p"].map(len)
+            for s in size.unique():
+                part = pdf[size == s]
+                c, r = smallest_balls(np.array(part["p"].tolist(), dtype=float).reshape(len(part), -1, 3))
+                d = np.linalg.norm(c, axis=1)
                 total = d + 2 * r / math.sqrt(3)
-                out.append(d / total if total > 0 else 0.0)
-            yield pd.DataFrame({"pid": pdf["pid"], "Miniball": out})
+                yield pd.DataFrame({"pid": part["pid"], "Miniball": np.divide(d, total, out=np.zeros_like(d), where=total > 0)})
 
     return _with(df, others.mapInPandas(run, "pid bigint, Miniball double"), Miniball=0.0)

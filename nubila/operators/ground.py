@@ -222,7 +222,7 @@ def csf(df: DataFrame, resolution: float = 1.0, step: float = 0.65, threshold: f
                 break
         return {"cloth": -y}
 
-    surf = grid_kernel(low, kernel, ["cloth"], 32, cols, rows, tile=256)
+    surf = grid_kernel(low, kernel, ["cloth"], 32, cols, rows)
     d = _cells(df.withColumn("_looked", looked), x0, y0, resolution).join(surf, ["c", "r"], "left")
     ground = F.abs(F.col("Z") - F.col("cloth")) < threshold
     other = F.col("Classification") if only_ground else F.lit(other_class)

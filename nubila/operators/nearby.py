@@ -120,7 +120,8 @@ def near_or_within(points: DataFrame, radius: float, regions: DataFrame | None =
     # a region's id in column a must not meet a location's
     some = some.withColumn("a_key", F.when(F.col("near") & (F.col("a_rows") > 1), F.col("a"))).join(a, F.col("a_key") == F.col("a_rep"), "left")
     some = some.withColumn("b_key", F.when(F.col("b_rows") > 1, F.col("b"))).join(b, F.col("b_key") == F.col("b_rep"), "left")
-    some = some.where(~F.col("near") | (F.coalesce("a_of", "a_tag") != F.coalesce("b_of", "b_tag"))).select(kind, F.coalesce("a_id", "a").alias("a"), F.coalesce("b_id", "b").alias("b"))
+    tag = lambda s: F.when(F.col(f"{s}_id").isNotNull(), F.col(f"{s}_of")).otherwise(F.col(f"{s}_tag"))
+    some = some.where(~F.col("near") | (tag("a") != tag("b"))).select(kind, F.coalesce("a_id", "a").alias("a"), F.coalesce("b_id", "b").alias("b"))
     same = a.join(b, (F.col("a_rep") == F.col("b_rep")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_of") != F.col("b_of"))).select(F.lit("near").alias("case_kind"), F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     found = plain.unionByName(some)
     if radius > 0:

@@ -252,7 +252,7 @@ query("hag_nn", "d AS (SELECT a.pid, a.Z, b.Z AS gz, (a.X - b.X) * (a.X - b.X) +
     lambda c: neighborhood.hag_nn(c, 3).select("pid", *r6("HeightAboveGround"))
 )
 query("hag_delaunay", of=small)(lambda c: mesh.hag_delaunay(c, 6).select("pid", *r6("HeightAboveGround")))
-query("zsmooth", "d AS (SELECT a.pid, b.Z AS bz FROM small a, small b WHERE a.pid <> b.pid AND (a.X - b.X) * (a.X - b.X) + (a.Y - b.Y) * (a.Y - b.Y) < 2500), s AS (SELECT pid, quantile_cont(bz, 0.5) AS z FROM d GROUP BY pid) SELECT small.pid, coalesce(s.z, Z) AS Smooth FROM small LEFT JOIN s ON s.pid = small.pid", small)(
+query("zsmooth", "d AS (SELECT a.pid, b.Z AS bz FROM small a, small b WHERE a.pid <> b.pid AND (a.X - b.X) * (a.X - b.X) + (a.Y - b.Y) * (a.Y - b.Y) < 2500), s AS (SELECT pid, quantile_cont(bz, 0.5) AS z FROM d GROUP BY pid) SELECT small.pid, coalesce(s.z, small.Z) AS Smooth FROM small LEFT JOIN s ON s.pid = small.pid", small)(
     lambda c: neighborhood.zsmooth(c, "Smooth", 50.0).select("pid", "Smooth")
 )
 TWO = f"e AS (SELECT a.pid, a.Z - b.Z AS dz, a.Classification AS t, b.Classification AS p, {D2} AS d2, row_number() OVER (PARTITION BY a.pid ORDER BY {D2}, b.pid) AS r FROM small a, small b WHERE a.pid % 2 = 0 AND b.pid % 2 = 1), f AS (SELECT b.pid, {D2} AS d2, row_number() OVER (PARTITION BY b.pid ORDER BY {D2}, a.pid) AS r FROM small a, small b WHERE a.pid % 2 = 0 AND b.pid % 2 = 1)"
@@ -291,7 +291,7 @@ query("icp", of=small)(lambda c: register.icp(c, assign.transformation(c, "1 0 0
 query("elm", "b AS (SELECT min(X) AS x, min(Y) AS y FROM cloud), c AS (SELECT pid, Classification, Z, floor(floor(cloud.X - b.x) / 10) AS c, floor(floor(cloud.Y - b.y) / 10) AS r FROM cloud, b), l AS (SELECT *, coalesce(lead(Z) OVER w - Z, 0) < 1 AS stop FROM c WINDOW w AS (PARTITION BY c, r ORDER BY Z, pid)), s AS (SELECT pid, Classification, sum(CASE WHEN stop THEN 1 ELSE 0 END) OVER (PARTITION BY c, r ORDER BY Z, pid ROWS UNBOUNDED PRECEDING) AS n FROM l) SELECT pid, CAST(CASE WHEN n = 0 THEN 7 ELSE Classification END AS INT) AS Classification FROM s")(
     lambda c: ground.elm(c).select("pid", F.col("Classification").cast("int"))
 )
-query("skewnessbalancing", "m AS (SELECT avg(Z) AS m FROM cloud), v AS (SELECT pid, Z, Z - m AS v FROM cloud, m), s AS (SELECT pid, Z, row_number() OVER w AS n, sum(v) OVER w AS s1, sum(v * v) OVER w AS s2, sum(v * v * v) OVER w AS s3 FROM v WINDOW w AS (ORDER BY Z, pid ROWS UNBOUNDED PRECEDING)), k AS (SELECT pid, Z, n, s2 - s1 * s1 / n AS m2, s3 - 3 * s1 / n * s2 + 2 * s1 * s1 * s1 / n / n AS m3 FROM s), z AS (SELECT pid, Z, n, CASE WHEN n > 1 AND m2 > 1e-12 THEN sqrt(n) * m3 / pow(m2, 1.5) END AS sk FROM k), t AS (SELECT pid, Z, n, sk, sk > 0 AND lag(sk) OVER (ORDER BY n) <= 0 AS turn FROM z), x AS (SELECT max(CASE WHEN turn THEN n END) AS at, arg_max(sk, n) AS last FROM t) SELECT pid, CASE WHEN at IS NOT NULL THEN CASE WHEN n < at THEN 2 ELSE 1 END WHEN last <= 0 THEN 2 ELSE 1 END AS Classification FROM t, x")(
+query("skewnessbalancing", "m AS (SELECT avg(Z) AS m FROM cloud), v AS (SELECT pid, Z, Z - m AS v FROM cloud, m), s AS (SELECT pid, Z, row_number() OVER w AS n, sum(v) OVER w AS s1, sum(v * v) OVER w AS s2, sum(v * v * v) OVER w AS s3 FROM v WINDOW w AS (ORDER BY Z, pid ROWS UNBOUNDED PRECEDING)), k AS (SELECT pid, Z, n, s2 - s1 * s1 / n AS m2, s3 - 3 * s1 / n * s2 + 2 * s1 * s1 * s1 / n / n AS m3 FROM s), z AS (SELECT pid, Z, n, CASE WHEN n > 1 AND m2 > 1e-12 THEN sqrt(n) * m3 / pow(m2, 1.5) END AS sk FROM k), t AS (SELECT pid, Z, n, sk, sk > 0 AND lag(sk) OVER (ORDER BY n) <= 0 AS turn FROM z), x AS (SELECT max(CASE WHEN turn THEN n END) AS cut, arg_max(sk, n) AS last FROM t) SELECT pid, CASE WHEN cut IS NOT NULL THEN CASE WHEN n < cut THEN 2 ELSE 1 END WHEN last <= 0 THEN 2 ELSE 1 END AS Classification FROM t, x")(
     lambda c: ground.skewnessbalancing(c).select("pid", F.col("Classification").cast("int"))
 )
 query("sparsesurface", of=small)(lambda c: ground.sparsesurface(c, 60.0).select("pid", F.col("Classification").cast("int")))

@@ -439,6 +439,10 @@ def _paths(path: str) -> list[str]:
     return sorted(glob.glob(path)) or [path]
 
 
+def _own(options) -> dict:
+    return {k: v for k, v in dict(options).items() if k not in ("path", "kind")}
+
+
 class PointSource(DataSource):
     """Options: path (file, folder or pattern), kind, and those of the kind. ``pid``: file number * 2^40 + record."""
 
@@ -448,7 +452,7 @@ class PointSource(DataSource):
 
     def schema(self):
         kind = KINDS[self.options["kind"]]
-        f = kind(_paths(self.options["path"])[0], **dict(self.options)).fields()
+        f = kind(_paths(self.options["path"])[0], **_own(self.options)).fields()
         return T.StructType([T.StructField("pid", T.LongType()), *(T.StructField(n, SPARK[t]) for n, t in f)])
 
     def reader(self, schema):
@@ -468,14 +472,14 @@ class _Reader(DataSourceReader):
             if issubclass(kind, Whole):
                 out.append(_Part(p, seq, 0, -1))
             else:
-                n = kind(p, **self.options).count()
+                n = kind(p, **_own(self.options)).count()
                 out += [_Part(p, seq, a, min(n, a + SPLIT)) for a in range(0, n, SPLIT)]
         return out or [_Part("", 0, 0, 0)]
 
     def read(self, part):
         if not part.path:
             return
-        src = KINDS[self.options["kind"]](part.path, **self.options)
+        src = KINDS[self.options["kind"]](part.path, **_own(self.options))
         stop = src.count() if part.stop < 0 else part.stop
         at = part.start
         names = [f.name for f in self.schema.fields]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import SPARK, canonical, rounded, type_of
@@ -35,15 +35,16 @@ def read_text(spark: SparkSession, path: str | list[str], separator: str | None
     with another number of fields is left out. ``ordered``: pid follows the lines of all files; else it is only unique."""
     first = [r["value"] for r in spark.read.text(path).limit(skip + 1).collect()]
     names, sep = parse_header(header if header is not None else first[skip], separator)
-    d = _lines(spark, path, True if ordered else False)
-    if skip or header is None:
-        # the lines before the data of each file: header and what is skipped
-        from pyspark.sql import Window
-
-        drop = skip + (header is None)
-        at = F.row_number().over(Window.partitionBy("_f").orderBy("_s", "pid"))
-        heads = d.where(F.col("_s") == 0).withColumn("_n", at).where(F.col("_n") <= drop).select("pid") if drop > 1 else d.where(F.col("_s") == 0).groupBy("_f").agg(F.min("pid").alias("pid")).select("pid")
-        d = d.join(F.broadcast(heads), "pid", "left_anti")  # few lines a file
+    d = _lines(spark, path, False)
+    if skip:
+        # the first lines of each file, few
+        at = F.row_number().over(Window.partitionBy("_f").orderBy("pid"))
+        heads = d.where(F.col("_s") == 0).withColumn("_n", at).where(F.col("_n") <= skip).select("pid")
+        d = d.join(F.broadcast(heads), "pid", "left_anti")
+    if header is None:  # wherever a file repeats it
+        d = d.where(F.col("value") != first[skip].rstrip("\r ").rstrip())
+    if ordered:
+        d = renumbered(d, F.asc("_f"), F.asc("_s"), F.asc("pid"))
     parts = F.split(F.trim("value"), r"\s+" if sep == " " else r"\s*" + re.escape(sep) + r"\s*")
     d = d.withColumn("_p", parts).where(F.size("_p") == len(names))
     cols = []

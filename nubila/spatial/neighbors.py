@@ -22,12 +22,12 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, dims: list[str
     own, then an equi-join on the cell and the exact test, all in the JVM.
     """
     cell = lambda d: F.floor(F.col(d) / radius)
-    l = left.select(F.col(left_id).alias("lpid"), *(F.col(d).alias(f"_l{d}") for d in dims), *(cell(d).alias(f"_c{k}") for k, d in enumerate(dims)))  # noqa: E741
-    r = right.select(F.col(right_id).alias("rpid"), *keep, *(F.col(d).alias(f"_r{d}") for d in dims), *(cell(d).alias(f"_b{k}") for k, d in enumerate(dims)))
+    l = left.select(F.col(left_id).alias("lpid"), *(F.col(d).alias(f"_q{k}") for k, d in enumerate(dims)), *(cell(d).alias(f"_c{k}") for k, d in enumerate(dims)))  # noqa: E741
+    r = right.select(F.col(right_id).alias("rpid"), *keep, *(F.col(d).alias(f"_p{k}") for k, d in enumerate(dims)), *(cell(d).alias(f"_b{k}") for k, d in enumerate(dims)))
     around = F.array(*(F.lit(x) for x in (-1, 0, 1)))
     for k in range(len(dims)):
         r = r.withColumn("_o", F.explode(around)).withColumn(f"_c{k}", F.col(f"_b{k}") + F.col("_o")).drop("_o", f"_b{k}")
-    d2 = reduce(lambda a, b: a + b, [(F.col(f"_l{d}") - F.col(f"_r{d}")) * (F.col(f"_l{d}") - F.col(f"_r{d}")) for d in dims])
+    d2 = reduce(lambda a, b: a + b, [(F.col(f"_q{k}") - F.col(f"_p{k}")) * (F.col(f"_q{k}") - F.col(f"_p{k}")) for k in range(len(dims))])
     j = l.join(r, [f"_c{k}" for k in range(len(dims))]).withColumn("d2", d2)
     return j.where(F.col("d2") < float(radius) ** 2).select("lpid", "rpid", "d2", *keep)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .vptree import VPTree
 from .metrics import euclidean
 
-TILE = 512
+TILE = 128
 
 
 def grid_kernel(cells: DataFrame, kernel, outputs: list[str], halo: int, cols: int, rows: int, tile: int = TILE) -> DataFrame:
@@ -42,29 +42,56 @@ def grid_kernel(cells: DataFrame, kernel, outputs: list[str], halo: int, cols: i
     return d.groupBy("tc", "tr").applyInPandas(run, f"c bigint, r bigint, {kinds}")
 
 
+def nearest_known(hole: np.ndarray) -> np.ndarray:
+    """For each cell the (row, column) of the nearest cell that is no hole, by jump flooding with a last pass of step one."""
+    n, m = hole.shape
+    ii, jj = np.meshgrid(np.arange(n), np.arange(m), indexing="ij")
+    far = 10 * (n + m)
+    si, sj = np.where(hole, -far, ii), np.where(hole, -far, jj)
+    step = 1
+    while step < max(n, m):
+        step *= 2
+    steps = []
+    while step:
+        steps.append(step)
+        step //= 2
+    for s in [*steps, 2, 1]:
+        for di in (-s, 0, s):
+            for dj in (-s, 0, s):
+                if (di or dj) and abs(di) < n and abs(dj) < m:
+                    a = (slice(max(0, di), n + min(0, di)), slice(max(0, dj), m + min(0, dj)))
+                    b = (slice(max(0, -di), n + min(0, -di)), slice(max(0, -dj), m + min(0, -dj)))
+                    ci, cj = si[b], sj[b]
+                    new = (ci - ii[a]) ** 2 + (cj - jj[a]) ** 2 < (si[a] - ii[a]) ** 2 + (sj[a] - jj[a]) ** 2
+                    si[a], sj[a] = np.where(new, ci, si[a]), np.where(new, cj, sj[a])
+    return np.stack((si, sj))
+
+
 def fill_nearest(z: np.ndarray, k: int = 1) -> np.ndarray:
     """NaN cells take the mean of the k nearest filled ones (ties: any within the k)."""
     hole = np.isnan(z)
     if not hole.any() or hole.all():
         return z
+    si, sj = nearest_known(hole)
+    if k == 1:
+        return np.where(hole, z[si, sj], z)
     known, empty = np.argwhere(~hole).astype(float), np.argwhere(hole).astype(float)
     values = z[~hole]
     tree = VPTree(known, euclidean)
-    out, todo, radius = np.zeros(len(empty)), np.arange(len(empty)), 1.5
+    out, todo = np.zeros(len(empty)), np.arange(len(empty))
+    radius = np.hypot(si[hole] - empty[:, 0], sj[hole] - empty[:, 1]) + 3.0
     k = min(k, len(known))
     while len(todo):
-        q, p, d = tree.within(empty[todo], radius)
+        q, p, d = tree.within(empty[todo], radius[todo])
         order = np.lexsort((p, d, q))
         q, p = q[order], p[order]
         first = np.searchsorted(q, np.arange(len(todo)), "left")
         n = np.searchsorted(q, np.arange(len(todo)), "right") - first
         done = n >= k
-        place = np.arange(len(q)) - first[q]
-        use = done[q] & (place < k)
-        total = np.bincount(q[use], values[p[use]], len(todo))
-        out[todo[done]] = total[done] / k
+        use = done[q] & (np.arange(len(q)) - first[q] < k)
+        out[todo[done]] = np.bincount(q[use], values[p[use]], len(todo))[done] / k
         todo = todo[~done]
-        radius *= 2
+        radius[todo] += 4.0
     z = z.copy()
     z[hole] = out
     return z

@@ -25,7 +25,7 @@ def rank_error(k: int = K) -> float:
 
 def sketches(df: DataFrame, keys: list[str], values: dict[str, Column], k: int = K) -> DataFrame:
     """``keys`` and a sketch (binary) for each named value. Null and NaN values are left out;
-    a group without values has a null sketch; a null key is a group."""
+    a group without values has an empty sketch; a null key is a group."""
     aggs = [F.kll_sketch_agg_double(F.when(~F.isnan(v), v), F.lit(k)).alias(n) for n, v in values.items()]
     return df.groupBy(*keys).agg(*aggs)
 
@@ -37,22 +37,20 @@ def merged(parts: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
 
 def percentile(sketch: Column, p: float) -> Column:
     """Element at 0-based position int(n * p / 100) of the n sorted values, exact up to K of them, else
-    within ``rank_error``. Null for a null sketch."""
+    within ``rank_error``. Null for a null sketch and for one without values."""
     # the least element whose share of values at or below reaches p; the nudge moves a whole n * p on to the next
-    return F.kll_sketch_get_quantile_double(sketch, F.lit(min(1.0, p / 100 + _NUDGE)))
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(min(1.0, p / 100 + _NUDGE))))
 
 
 def wide_groups(points: DataFrame, k: int = K) -> DataFrame:
     """Per field and group: n, p5, p50, p95. ``points`` has file_id, pointsourceid, z, intensity, returnnumber."""
     by_file = sketches(points.where("z is not null"), ["file_id"], {"z": F.col("z")}, k)
     by_line = sketches(points, ["pointsourceid"], {"intensity": F.col("intensity"), "returnnumber": F.col("returnnumber")}, k)
-    rows = [(by_file, "file_id", "z"), (by_line, "pointsourceid", "intensity"), (by_line, "pointsourceid", "returnnumber")]
-    return _stacked(rows)
+    return stacked(by_file, "file_id", ["z"]).unionByName(stacked(by_line, "pointsourceid", ["intensity", "returnnumber"]))
 
 
-def _stacked(rows: list) -> DataFrame:
-    out = None
-    for df, key, name in rows:
-        one = df.where(F.col(name).isNotNull() & F.col(key).isNotNull()).select(F.lit(name).alias("field"), F.col(key).cast("bigint").alias("group_id"), F.kll_sketch_get_n_double(name).alias("n"), *(percentile(F.col(name), p).alias(f"p{p}") for p in (5, 50, 95))).where("n > 0")
-        out = one if out is None else out.unionByName(one)
-    return out
+def stacked(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """(field, group_id, n, p5, p50, p95) of the named sketches, read once."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.col(n).alias("s")) for n in names)))
+    d = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("group_id"), each.alias("e")).select("e.field", "group_id", "e.s").where("s is not null")
+    return d.select("field", "group_id", F.kll_sketch_get_n_double("s").alias("n"), *(percentile(F.col("s"), p).alias(f"p{p}") for p in (5, 50, 95))).where("n > 0")

@@ -10,7 +10,7 @@ from ..session import read
 from .encode import encoded
 from .leakage import leaks, removal_spans
 from .mcl import describe, markov_clusters
-from .percentiles import merged, sketches, wide_groups, _stacked
+from .percentiles import merged, sketches, stacked, wide_groups
 from .reading import reading_bands
 
 
@@ -44,7 +44,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intensity of each flight line: sketches of days, merged."""
     day = sketches(_measured(spark, sf_dir).withColumn("day", F.to_date("captured_at")), ["pointsourceid", "day"], {"intensity": F.col("intensity")})
-    return _stacked([(merged(day, ["pointsourceid"], ["intensity"]), "pointsourceid", "intensity")])
+    return stacked(merged(day, ["pointsourceid"], ["intensity"]), "pointsourceid", ["intensity"])
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,10 +15,13 @@ from .select import _beside, order_statistics, polygon_condition, positions, ras
 
 
 def _type(df: DataFrame, name: str) -> str:
-    for f in df.schema.fields:
-        if f.name == name:
-            return f.metadata.get("dim_type") or {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float", "decimal(20,0)": "uint64"}.get(f.dataType.simpleString(), "double")
-    return type_of(name)
+    """Logical type of a column: as noted with it, else of its well-known name where that fits, else of its Spark type."""
+    f = df.schema[name] if name in df.columns else None
+    if f is None:
+        return type_of(name)
+    plain = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float", "decimal(20,0)": "uint64"}
+    known = type_of(name)
+    return f.metadata.get("dim_type") or (known if SPARK[known] == f.dataType else plain.get(f.dataType.simpleString(), "double"))
 
 
 def assign(df: DataFrame, *values: str) -> DataFrame:

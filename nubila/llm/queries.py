@@ -64,4 +64,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_by_day": p5_by_day, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
-SQL: dict[str, str] = {}
+
+_NUMBER = "CASE WHEN regexp_full_match(replace(trim({0}), ',', '.'), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(replace(trim({0}), ',', '.') AS DOUBLE) END"
+_AXIS = ", ".join(f"round(coalesce(geom_coordinates[{k}], {_NUMBER.format('prop_' + a)}), 2) AS {a}" for k, a in enumerate("xyz", 1))
+_GROUPS = " UNION ALL ".join((
+    "SELECT 'z' AS field, file_id AS g, z AS v FROM m WHERE x IS NOT NULL AND y IS NOT NULL",
+    "SELECT 'intensity', pointsourceid, intensity FROM m",
+    "SELECT 'returnnumber', pointsourceid, returnnumber FROM m",
+))
+_MEASURED = f"WITH m AS (SELECT file_id, pointsourceid, {_NUMBER.format('prop_intensity')} AS intensity, {_NUMBER.format('prop_returnnumber')} AS returnnumber, {_AXIS} FROM point_features), v AS ({_GROUPS}), l AS (SELECT field, CAST(g AS BIGINT) AS group_id, list_sort(list(v)) AS l FROM v WHERE v IS NOT NULL AND g IS NOT NULL GROUP BY 1, 2), p AS (SELECT field, group_id, len(l) AS n, l[len(l) * 5 // 100 + 1] AS p5, l[len(l) * 50 // 100 + 1] AS p50, l[len(l) * 95 // 100 + 1] AS p95 FROM l)"
+#: Exact percentiles; the sketches equal them in groups of up to K values.
+SQL = {
+    "p5_found": _MEASURED + " SELECT field, group_id FROM p WHERE p95 - p5 > CASE field WHEN 'z' THEN 50 WHEN 'intensity' THEN 1200 ELSE 2.5 END",
+    "p5_by_day": _MEASURED + " SELECT * FROM p WHERE field = 'intensity'",
+}

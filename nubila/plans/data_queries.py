@@ -32,6 +32,34 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("file_id", "recorded_in", "quantity", F.floor("metres").alias("metres")).distinct()
 
 
+LOCATED_SQL = r"""
+located AS (
+  SELECT * FROM (SELECT pid, pointsourceid, file_id,
+    round(coalesce(geom_coordinates[1], CASE WHEN regexp_full_match(replace(trim(prop_x), ',', '.'), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(replace(trim(prop_x), ',', '.') AS DOUBLE) END), 2) AS x,
+    round(coalesce(geom_coordinates[2], CASE WHEN regexp_full_match(replace(trim(prop_y), ',', '.'), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(replace(trim(prop_y), ',', '.') AS DOUBLE) END), 2) AS y,
+    round(coalesce(geom_coordinates[3], CASE WHEN regexp_full_match(replace(trim(prop_z), ',', '.'), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(replace(trim(prop_z), ',', '.') AS DOUBLE) END), 2) AS z
+  FROM point_features) WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL)"""
+
+P1_FOUND_SQL = f"""
+WITH {LOCATED_SQL},
+here AS (SELECT *, CAST(floor(x) AS BIGINT) AS a, CAST(floor(y) AS BIGINT) AS b FROM located),
+around AS (SELECT pid, pointsourceid, x, y, z, a + da AS a, b + db AS b FROM here, (SELECT unnest([-1, 0, 1]) AS da), (SELECT unnest([-1, 0, 1]) AS db)),
+near AS (
+  SELECT h.pid AS id_a, o.pid AS id_b FROM here h JOIN around o ON h.a = o.a AND h.b = o.b
+  WHERE h.pid < o.pid AND h.pointsourceid <> o.pointsourceid AND (h.x - o.x) ^ 2 + (h.y - o.y) ^ 2 + (h.z - o.z) ^ 2 < 0.255 ^ 2),
+polygons AS (SELECT region_id, unnest(geom_coordinates) AS polygon, generate_subscripts(geom_coordinates, 1) AS part FROM regions WHERE geom_coordinates IS NOT NULL),
+rings AS (SELECT region_id, part, unnest(polygon) AS ring, generate_subscripts(polygon, 1) AS place FROM polygons),
+vertices AS (SELECT region_id, part, place, ring, unnest(range(1, len(ring) + 1)) AS k FROM rings),
+edges AS (SELECT region_id, part, place, ring[k][1] AS x1, ring[k][2] AS y1, ring[k % len(ring) + 1][1] AS x2, ring[k % len(ring) + 1][2] AS y2 FROM vertices),
+crossed AS (
+  SELECT region_id, part, place, pid FROM edges e JOIN located p ON p.y >= least(y1, y2) AND p.y < greatest(y1, y2)
+  WHERE p.x < (x2 - x1) * (p.y - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT 'near' AS case_kind, id_a, id_b FROM near
+UNION ALL
+SELECT DISTINCT 'within', CAST(o.region_id AS BIGINT), o.pid FROM crossed o
+WHERE o.place = 1 AND NOT EXISTS (SELECT 1 FROM crossed h WHERE h.place > 1 AND h.region_id = o.region_id AND h.part = o.part AND h.pid = o.pid)
+"""
+
 P2_FOUND_SQL = r"""
 WITH names AS (
   SELECT dimname, 0 AS place, dimname AS name FROM dimensions
@@ -97,4 +125,4 @@ SELECT DISTINCT file_id, 'header', quantity, CAST(floor(value * f) AS BIGINT) FR
 """
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_unified": p2_unified, "p4_found": p4_found}
-SQL = {"p2_found": P2_FOUND_SQL, "p4_found": P4_FOUND_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p4_found": P4_FOUND_SQL}

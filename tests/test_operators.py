@@ -268,3 +268,38 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, want.collect()))
     with pytest.raises(ValueError):
         streaming.refuse("head")
+
+
+def test_projections(spark):
+    d = cloud(spark, [(9.0, 0.0, 0), (10.0, 48.0, 5), (7.2, -33.0, 1)])
+    u = assign.reprojection(d, "EPSG:4326", "EPSG:32632").orderBy("pid").collect()
+    assert (u[0].X, u[0].Y) == pytest.approx((500000, 0), abs=1e-6)
+    assert (u[1].X, u[1].Y) == pytest.approx((574591.2, 5316782.4), abs=60)
+    back = assign.reprojection(assign.reprojection(d, "EPSG:4326", "EPSG:32632"), "EPSG:32632", "EPSG:4326").orderBy("pid").collect()
+    assert [v for r in back for v in (r.X, r.Y)] == pytest.approx([9, 0, 10, 48, 7.2, -33], abs=1e-9)
+    m = assign.reprojection(d, "EPSG:4326", "EPSG:3857").orderBy("pid").first()
+    assert (m.X, m.Y) == pytest.approx((9 * math.pi / 180 * 6378137, 0), abs=1e-6)
+    with pytest.raises(ValueError):
+        assign.reprojection(d, "EPSG:4326", "EPSG:9999")
+
+
+def test_tracks_and_polygons(spark):
+    d = cloud(spark, [(1, 2, 3), (11, 1, 0)])
+    track = [(0, 0, 0, 0), (10, 0, 0, 0), (10, 10, 0, 0)]
+    s = assign.straighten(d, track)
+    assert [v for r in s.orderBy("pid").collect() for v in (r.X, r.Y, r.Z)] == pytest.approx([1, 2, 3, 11, -1, 0])
+    again = assign.straighten(s, track, reverse=True)
+    assert [v for r in again.orderBy("pid").collect() for v in (r.X, r.Y, r.Z)] == pytest.approx([1, 2, 3, 11, 1, 0])
+    regions = spark.createDataFrame([(2, 7, [[[[0.0, 0.0], [5.0, 0.0], [5.0, 5.0], [0.0, 5.0]]]]), (1, None, None), (3, 9, [[[[0.0, 0.0], [20.0, 0.0], [20.0, 5.0], [0.0, 5.0]]]])], "region_id int, cls int, geom_coordinates array<array<array<array<double>>>>")
+    assert column(assign.overlay(d, regions, "Zone", "cls"), "Zone") == [7, 9]
+    inside = assign.geomdistance(d, "POLYGON ((0 0, 5 0, 5 5, 0 5, 0 0))").orderBy("pid").collect()
+    assert [r.distance for r in inside] == pytest.approx([0, 6])
+
+
+def test_comparison_of_two_clouds(spark):
+    rng = np.random.default_rng(0)
+    p = np.c_[rng.uniform(0, 10, (2000, 2)), rng.normal(0, 0.01, 2000)]
+    a, b = cloud(spark, p), cloud(spark, p + (0, 0, 0.5))
+    r = register.m3c2(a, b, cloud(spark, [(5, 5, 0)]), 1.0, 1.0, 2.0).first()
+    assert r.m3c2_distance == pytest.approx(0.5, abs=0.02) and r.m3c2_significant == 1 and r.m3c2_count1 > 20
+    assert neighborhood.hausdorff(a, b).first().hausdorff <= 0.5 + 1e-9

@@ -14,6 +14,7 @@ from ..functions.expression import range_condition
 from ..spatial.components import independent
 from ..spatial.neighbors import radius_join
 from ..spatial.tiles import dilate, erode, fill_nearest, grid_kernel
+from .sample import _tile
 from .select import _beside, prefixed, ranged
 
 
@@ -70,7 +71,7 @@ def sparsesurface(df: DataFrame, radius: float = 1.0, ground_class: int = 2, low
     """From the lowest up: a row not yet labelled is ground, and what is within the radius in the plane is a low point."""
     d = df.select("pid", "X", "Y", "Z")
     links = radius_join(d, d, radius, ["X", "Y"]).where("lpid < rpid").select(F.col("lpid").alias("a"), F.col("rpid").alias("b"))
-    kept = independent(d.select(F.col("pid").alias("id"), F.struct("Z", "pid").alias("rank")), links)
+    kept = independent(d.select(F.col("pid").alias("id"), F.struct("Z", "pid").alias("rank"), _tile(radius)), links)
     j = df.join(kept.withColumnRenamed("id", "pid"), "pid")
     return _classified(j, F.when(F.col("kept"), F.lit(ground_class)).otherwise(F.lit(low_point_class))).drop("kept")
 

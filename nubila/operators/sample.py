@@ -29,6 +29,11 @@ def best_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return g.select(*keys, "_b.*").select(*df.columns)
 
 
+def _tile(radius: float) -> Column:
+    """Squares of 32 radii, for what is decided together."""
+    return F.array(F.floor(F.col("X") / (32 * radius)), F.floor(F.col("Y") / (32 * radius))).alias("tile")
+
+
 def sample(df: DataFrame, radius: float | None = None, cell: float | None = None, dimension: str | None = None) -> DataFrame:
     """Poisson thinning: a row stays unless an earlier row that stays is nearer than ``radius`` (cell * sqrt(3) / 2).
 
@@ -39,7 +44,7 @@ def sample(df: DataFrame, radius: float | None = None, cell: float | None = None
     r = radius if radius is not None else cell * math.sqrt(3) / 2
     d = df.select("pid", "X", "Y", "Z")
     links = radius_join(d, d, r, ["X", "Y", "Z"]).where("lpid < rpid").select(F.col("lpid").alias("a"), F.col("rpid").alias("b"))
-    kept = independent(d.select(F.col("pid").alias("id"), F.col("pid").alias("rank")), links).withColumnRenamed("id", "pid")
+    kept = independent(d.select(F.col("pid").alias("id"), F.col("pid").alias("rank"), _tile(r)), links).withColumnRenamed("id", "pid")
     if dimension:
         return df.drop(dimension).join(kept, "pid").withColumn(dimension, F.col("kept").cast("int")).drop("kept")
     return df.join(kept.where("kept").select("pid"), "pid", "left_semi")
@@ -132,7 +137,7 @@ def relaxationdartthrowing(df: DataFrame, count: int = 1000, radius: float = 1.0
         # what is taken stays taken: it comes first and removes what is near it
         order = d.withColumn("_k", F.lit(1)) if kept is None else d.join(kept.withColumn("_k", F.lit(0)), "pid", "left").fillna(1, ["_k"])
         links = radius_join(d, d, r, ["X", "Y", "Z"]).where("lpid < rpid").select(F.col("lpid").alias("a"), F.col("rpid").alias("b"))
-        kept = staged(independent(order.select(F.col("pid").alias("id"), F.struct("_k", "_r", "pid").alias("rank")), links).where("kept").select(F.col("id").alias("pid")), "kept")
+        kept = staged(independent(order.select(F.col("pid").alias("id"), F.struct("_k", "_r", "pid").alias("rank"), _tile(r)), links).where("kept").select(F.col("id").alias("pid")), "kept")
         n = kept.count()
         r *= decay
     if kept is None:

@@ -124,7 +124,9 @@ def test_joins(random_cloud):
     assert all(near[i, k + 1] == order_[i, k] for i in range(400) for k in range(5))
 
 
-def test_greedy_thinning(random_cloud):
+@pytest.mark.parametrize("group", [1_000_000, 300])
+def test_greedy_thinning(random_cloud, monkeypatch, group):
+    monkeypatch.setattr("nubila.spatial.components.GROUP_LINKS", group)
     p, d = random_cloud
     kept = []
     for i, q in enumerate(p):

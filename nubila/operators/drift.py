@@ -4,8 +4,10 @@ Every column of a file is profiled: its name, its type, and a sketch of its
 values (rows, share of numbers, mean, spread, least and largest). The columns
 of two versions are matched by a bipartite matching of greatest total
 similarity (Kuhn-Munkres); matched columns are one column, renamed or retyped;
-the rest were added or removed. ``unified`` then reads all records under the
-matched names.
+the rest were added or removed. Columns of one key (naming rule, catalogue) are
+always in that matching, so where only such pairs count (``same_key``) the rule
+alone decides; the sketches decide which other columns ``one_name`` joins, under
+whose names ``unified`` reads all records.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+from ..spatial.components import components
+
 #: Files of a series that one window task sorts at a time.
 SEQ_BLOCK = 4096
 MARKS = r"[\s_-]+"
@@ -110,32 +115,33 @@ def _grams(name: str) -> set[str]:
 
 
 def similarity(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    """Of columns: 2 for one key, else 0 to 1 of name, type and value sketch."""
-    out = np.zeros((len(a), len(b)))
+    """Of columns: 3 for one key, more than the two pairs it could stand in the way of; else 0 to 1 of name, type and value sketch."""
     ga, gb = [_grams(x) for x in a["name"]], [_grams(x) for x in b["name"]]
-    va, vb = a[["mean", "spread", "low", "high"]].to_numpy(float), b[["mean", "spread", "low", "high"]].to_numpy(float)
-    for i in range(len(a)):
-        for j in range(len(b)):
-            if a["key"].iat[i] == b["key"].iat[j]:
-                out[i, j] = 2
-                continue
-            name = 2 * len(ga[i] & gb[j]) / max(1, len(ga[i]) + len(gb[j]))
-            kind = 0.5 * (a["kind"].iat[i] == b["kind"].iat[j]) + 0.5 * (a["width"].iat[i] == b["width"].iat[j])
-            d = np.abs(va[i] - vb[j]) / (np.abs(va[i]) + np.abs(vb[j]) + 1e-9)
-            value = 0.5 if np.isnan(d).any() else float(1 - d.mean())
-            out[i, j] = 0.5 * name + 0.2 * kind + 0.3 * value
-    return out
+    at = {g: k for k, g in enumerate(sorted(set().union(*ga, *gb)))}
+    ma, mb = np.zeros((len(a), len(at))), np.zeros((len(b), len(at)))
+    for m, grams in ((ma, ga), (mb, gb)):
+        for i, g in enumerate(grams):
+            m[i, [at[x] for x in g]] = 1
+    name = 2 * (ma @ mb.T) / np.maximum(1, ma.sum(axis=1)[:, None] + mb.sum(axis=1))
+    same = {c: a[c].to_numpy(object)[:, None] == b[c].to_numpy(object) for c in ("key", "kind", "width")}
+    va, vb = (x[["mean", "spread", "low", "high"]].to_numpy(float) for x in (a, b))
+    va, vb = va[:, None], vb[None]
+    value = 1 - (np.abs(va - vb) / (np.abs(va) + np.abs(vb) + 1e-9)).mean(axis=2)
+    out = 0.5 * name + 0.2 * (0.5 * same["kind"] + 0.5 * same["width"]) + 0.3 * np.where(np.isnan(value), 0.5, value)
+    return np.where(same["key"].astype(bool), 3.0, out)
+
+
+def matched(old: pd.DataFrame, new: pd.DataFrame, threshold: float, same_key: bool) -> list[tuple[int, int, float]]:
+    """Pairs of two versions' columns in the greatest matching of all columns that reach the threshold; ``same_key``: that are one key."""
+    if not len(old) or not len(new):
+        return []
+    score, a, b = similarity(old, new), old["key"].to_numpy(), new["key"].to_numpy()
+    return [(i, j, float(score[i, j])) for i, j in greatest_matching(score) if a[i] == b[j] or score[i, j] >= threshold and not same_key]
 
 
 def changes_of(file_id: int, old: pd.DataFrame, new: pd.DataFrame, threshold: float, same_key: bool) -> list[tuple]:
     """(file_id, dimname, change_kind, old name, score) of one version against the one before it."""
-    known = dict(zip(new["key"], range(len(new))))
-    pairs = [(i, known[k], 2.0) for i, k in enumerate(old["key"]) if k in known]  # score 2 always belongs to a greatest matching
-    ra = np.setdiff1d(np.arange(len(old)), [p[0] for p in pairs])
-    rb = np.setdiff1d(np.arange(len(new)), [p[1] for p in pairs])
-    if len(ra) and len(rb):
-        score = similarity(old.iloc[ra], new.iloc[rb])
-        pairs += [(ra[i], rb[j], score[i, j]) for i, j in greatest_matching(score) if score[i, j] >= threshold and not same_key]
+    pairs = matched(old, new, threshold, same_key)
     out = []
     for i, j, score in pairs:
         o, n = old.iloc[i], new.iloc[j]
@@ -159,29 +165,70 @@ def schema_changes(files: DataFrame, schemas: DataFrame, dimensions: DataFrame,
     first position. A blank type is never a change. Empty tables give no rows.
     """
     cols = columns_of(schemas, dimensions, records)
-    pairs = before(files)
-    both = pairs.select("file_id", F.explode(F.array(F.struct(F.col("file_id").alias("of"), F.lit(True).alias("new")), F.struct(F.col("prev").alias("of"), F.lit(False).alias("new")))).alias("e")).select("file_id", "e.of", "e.new")
+    fields = "file_id bigint, dimname string, change_kind string, old_name string, score double"
+    return _versions(cols, files, lambda k, old, new: changes_of(k, old, new, threshold, same_key), fields)
+
+
+def _versions(cols: DataFrame, files: DataFrame, of, fields: str) -> DataFrame:
+    """Rows ``of`` (file, columns of the file before it, its columns) for each file that has one before it."""
+    both = before(files).select("file_id", F.explode(F.array(F.struct(F.col("file_id").alias("of"), F.lit(True).alias("new")), F.struct(F.col("prev").alias("of"), F.lit(False).alias("new")))).alias("e")).select("file_id", "e.of", "e.new")
     rows = both.join(cols.withColumnRenamed("file_id", "of"), "of").drop("of")
 
     def run(key, pdf):
         pdf = pdf.sort_values("key")
-        found = changes_of(int(key[0]), pdf[~pdf["new"]].reset_index(drop=True), pdf[pdf["new"]].reset_index(drop=True), threshold, same_key)
-        return pd.DataFrame(found, columns=["file_id", "dimname", "change_kind", "old_name", "score"])
+        found = of(int(key[0]), pdf[~pdf["new"]].reset_index(drop=True), pdf[pdf["new"]].reset_index(drop=True))
+        return pd.DataFrame(found, columns=[c.split()[0] for c in fields.split(", ")])
 
-    return rows.groupBy("file_id").applyInPandas(run, "file_id bigint, dimname string, change_kind string, old_name string, score double")
+    return rows.groupBy("file_id").applyInPandas(run, fields)
 
 
-def unified(records: DataFrame, dimensions: DataFrame) -> DataFrame:
+def _renamed(old: pd.DataFrame, new: pd.DataFrame, threshold: float) -> list[tuple]:
+    """(key before, key after) of matched columns of two keys, at most one of them the catalogue's."""
+    pairs = [(old.iloc[i], new.iloc[j]) for i, j, _ in matched(old, new, threshold, False)]
+    return [(o["key"], n["key"]) for o, n in pairs if o["key"] != n["key"] and not (o["listed"] and n["listed"])]
+
+
+def one_name(files: DataFrame, schemas: DataFrame, dimensions: DataFrame, records: DataFrame, *, threshold: float = 0.75) -> DataFrame:
+    """(file_id, names): of each file, the keys that stand under another name in all files, as a map key -> name.
+
+    Keys that the matching pairs between versions are one dimension, in all files;
+    its name is the catalogue's where one of them is listed, else the least. Never
+    one are keys that stand together in a file, nor two entries of the catalogue:
+    a group joined through others that holds two entries keeps its names, as do
+    the keys of a group in a file that has several of them.
+    """
+    listed = catalogue_keys(dimensions).select(F.col("dimname").alias("key"), F.lit(True).alias("listed")).distinct()
+    cols = staged(columns_of(schemas, dimensions, records).join(listed, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False))), "columns")
+    pairs = staged(_versions(cols, files, lambda k, old, new: _renamed(old, new, threshold), "a string, b string").distinct(), "renamed")
+    here = cols.select("file_id", "key", "listed")
+    together = pairs.join(here.select("file_id", F.col("key").alias("a")), "a").join(here.select("file_id", F.col("key").alias("b")), ["file_id", "b"]).select("a", "b")
+    pairs = pairs.join(together.distinct(), ["a", "b"], "left_anti")
+    keys = here.groupBy("key").agg(F.max("listed").alias("listed"))
+    groups = components(pairs).select(F.col("id").alias("key"), F.col("component").alias("group"))
+    name = groups.join(keys, "key").groupBy("group").agg(F.sum(F.col("listed").cast("int")).alias("entries"), F.min_by("key", F.struct(~F.col("listed"), "key")).alias("name"))
+    named = groups.join(name.where("entries < 2"), "group").select("group", "key", "name")
+    of = here.join(named, "key").groupBy("file_id", "group").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("name").alias("name"))
+    of = of.where("n = 1 and key <> name")
+    return of.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "name"))).alias("names"))
+
+
+def unified(records: DataFrame, dimensions: DataFrame, names_of: DataFrame | None = None) -> DataFrame:
     """All records under the catalogue's names: file_id, rec_no, one double a catalogue dimension, and
-    ``extra``, the other values as a map of plain names. No shuffle: the catalogue (a table of fixed
-    size) becomes a literal map of the expression. Numbers kept as text are read; a bad payload gives nulls."""
+    ``extra``, the other values as a map of plain names. ``names_of``: those of ``one_name``, for columns
+    that the matching joins. Without it no shuffle: the catalogue (a table of fixed size) becomes a literal
+    map of the expression. Numbers kept as text are read; a bad payload gives nulls."""
     from ..functions.numbers import number
 
     keys = catalogue_keys(dimensions).collect()  # fixed: one row a catalogue name or alternate
     table = F.create_map(*(F.lit(x) for r in keys for x in (r["key"], r["dimname"]))) if keys else F.create_map().cast("map<string,string>")
     names = sorted({r["dimname"] for r in keys})
     entries = F.map_entries(F.coalesce(F.from_json("payload", "map<string,string>"), F.create_map().cast("map<string,string>")))
-    plain = F.transform(entries, lambda e: F.struct(F.coalesce(F.try_element_at(table, plain_name(e["key"])), plain_name(e["key"])).alias("k"), e["value"].alias("v")))
+    key = lambda e: F.coalesce(F.try_element_at(table, plain_name(e["key"])), plain_name(e["key"]))
+    if names_of is None:
+        plain = F.transform(entries, lambda e: F.struct(key(e).alias("k"), e["value"].alias("v")))
+    else:
+        records = records.join(names_of, "file_id", "left")
+        plain = F.transform(entries, lambda e: F.struct(F.coalesce(F.try_element_at("names", key(e)), key(e)).alias("k"), e["value"].alias("v")))
     # of two values under one name, the first in order of value
     merged = F.aggregate(F.array_sort(plain), F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["k"]), m).otherwise(F.map_concat(m, F.create_map(e["k"], e["v"]))))
     r = records.select("file_id", "rec_no", merged.alias("m"))

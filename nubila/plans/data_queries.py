@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import located
-from ..operators.drift import schema_changes, unified
+from ..operators.drift import one_name, schema_changes, unified
 from ..operators.nearby import near_or_within
 from ..operators.units import in_metres
 from ..session import read
@@ -23,7 +23,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unified(read(spark, sf_dir, "raw_records"), read(spark, sf_dir, "dimensions"))
+    files, schemas, dimensions, records = (read(spark, sf_dir, n) for n in ("scan_files", "file_schemas", "dimensions", "raw_records"))
+    return unified(records, dimensions, one_name(files, schemas, dimensions, records))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,21 @@ def test_unified_records(spark):
     assert rows[1, 2].X is None and rows[2, 1].extra == {} and rows[2, 2].X is None
 
 
+def test_unified_joins_columns_that_the_matching_pairs(spark):
+    # rigtemp is rigtemperature and puls is Intensity, which the catalogue lists; gain1 and gain2 look alike but stand together in file 3
+    names = {1: ("RigTemperature", "Intensity", "gain1"), 2: ("RigTemp", "Intensity", "gain2"), 3: ("RigTemp", "Intensities", "gain1", "gain2")}
+    kinds = {"I": "uint16", "g": "int32", "R": "float"}
+    s = [(f, k, n, kinds[n[0]], None) for f, ns in names.items() for k, n in enumerate(ns)]
+    base = {"R": 20.5, "I": 900, "g": 7}
+    rec = [(f, n, json.dumps({x: base[x[0]] + n for x in ns})) for f, ns in names.items() for n in range(3)]
+    f = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 5)], "file_id bigint, series_id bigint, series_seq int")
+    s = spark.createDataFrame(s, "file_id bigint, dim_pos int, dim_name string, dim_type string, dim_size int")
+    r = spark.createDataFrame(rec, "file_id bigint, rec_no int, payload string")
+    got = {(x.file_id, x.rec_no): x for x in drift.unified(r, catalogue(spark), drift.one_name(f, s, catalogue(spark), r)).collect()}
+    assert len(got) == 9 and all(float(x.extra["rigtemp"]) == 20.5 + n and x.Intensity == 900 + n for (_, n), x in got.items())
+    assert set(got[1, 0].extra) == {"rigtemp", "gain1"} and set(got[2, 0].extra) == {"rigtemp", "gain2"} and set(got[3, 0].extra) == {"rigtemp", "gain1", "gain2"}
+
+
 # ---- units --------------------------------------------------------------------
 
 ITEM = "file_id bigint, proj_wkt2 string, proj_bbox array<double>, remarks string, unit string"

@@ -84,6 +84,7 @@ class Passages:
         self.sieve[self._slot(self.pairs)] = True
         self.needed = np.array([pairs_needed(len(w)) for w in self.words], dtype=np.int64)
         self.where = [self._masks(w) for w in self.words]
+        self.back = [self._masks(w[::-1]) for w in self.words]
 
     @staticmethod
     def _slot(key):
@@ -107,6 +108,20 @@ class Passages:
                 v = (v + u | v - u) & full
         return len(self.words[j]) - v.bit_count()
 
+    def _matched(self, masks: dict[int, int], j: int, text: list[int]) -> tuple[int, int]:
+        """(length of the longest common subsequence, place where it is reached first), -1 without any."""
+        full = (1 << len(self.words[j])) - 1
+        v, n, end = full, 0, -1
+        for k, c in enumerate(text):
+            m = masks.get(c)
+            if m:
+                u = v & m
+                t = v + u
+                v = (t | v - u) & full
+                if t > full:
+                    n, end = n + 1, k
+        return n, end
+
     def pair_hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, passage): a word of the text that with the next, or the next but one, is a pair of the passage."""
         found = []
@@ -159,7 +174,8 @@ class Passages:
         return out
 
     def _exact(self, p: int, text: np.ndarray, lo: int, hi: int, starts: np.ndarray) -> list[tuple[int, int, int]]:
-        """Stretches within [lo, hi) that fulfil the condition, each in one document."""
+        """Stretches within [lo, hi) that fulfil the condition, each in one document: from their first to their
+        last matched word, those that overlap or touch as one."""
         lo, hi = max(0, lo), min(hi, len(text))
         need, size, masks = math.ceil(SHARE * len(self.words[p]) - 1e-9), self.stretch[p], self.where[p]
         out = []
@@ -168,12 +184,26 @@ class Passages:
             part = text[a:b].tolist()
             if self.common(p, part) < need:
                 continue
-            s = 0
+            s, first, last = 0, len(part), -2
             while s <= len(part) - need:
-                if part[s] in masks and self.common(p, part[s : s + size]) >= need:
-                    out.append((p, a + s, a + min(len(part), s + size) - 1))
-                    s += size
+                if part[s] not in masks:
+                    s += 1
+                    continue
+                n, end = self._matched(masks, p, part[s : s + size])
+                if n < need:  # the stretch k words on has at most k matches more
+                    s += need - n
+                    continue
+                end += s
+                if s < first or end > last:  # else within the span
+                    start = end - self._matched(self.back[p], p, part[s : end + 1][::-1])[1]
+                    if start > last + 1:
+                        if last >= 0:
+                            out.append((p, a + first, a + last))
+                        first, last = start, end
+                    first, last = min(first, start), max(last, end)
                 s += 1
+            if last >= 0:
+                out.append((p, a + first, a + last))
         return out
 
 
@@ -217,7 +247,8 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """Every span of a document that holds a passage: item_id, doc_id, kind, first_word, last_word.
 
     kind 'phrase': PHRASE or more consecutive words of the passage; 'stretch':
-    SHARE of its words in order within STRETCH times its length. Null ids, null
+    SHARE of its words in order within STRETCH times its length, all such stretches that
+    overlap or touch as one span, from the first to the last matched word. Null ids, null
     or wordless texts and passages give no row. Equal texts of a shard are
     searched once and reported for each row. Long texts are searched in pieces
     that overlap by more than a stretch, so nothing is cut. The passages, a stated

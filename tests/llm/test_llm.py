@@ -193,6 +193,21 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert leakage.leaks(df, it.limit(0)).count() == 0
 
 
+def test_removal_spans_cover_the_whole_passage():
+    passage = [f"p{k}" for k in range(60)]
+    edited = [f"x{k}" if k % 10 == 9 else w for k, w in enumerate(passage)]  # no 12 words unchanged
+    own = [f"f{k}" if k % 3 else passage[(7 * k) % 60] for k in range(80)]  # words of the passage, out of order
+    p = leakage.Passages([(1, " ".join(passage))])
+    for text in (own + edited + own[::-1], edited, own + edited + ["and"] * 3 + edited):
+        ids = [p.vocabulary.get(w, 1) for w in text]
+        spans = [(r[3], r[4]) for r in leakage.search_shard(p, [([9], 0, ids)])]
+        inside = {k for a, b in spans for k in range(a, b + 1)}
+        for at in (k for k in range(len(text)) if text[k : k + 60] == edited):
+            assert set(range(at, at + 59)) <= inside  # the last word is one of the changed
+    ids, two = [p.vocabulary.get(w, 1) for w in edited], [1, p.vocabulary["p50"]] * 15
+    assert [r[3:] for r in leakage.search_shard(p, [([9], 0, [1] * 40 + ids + two + ids + [1] * 40)])] == [(40, 98), (130, 188)]
+
+
 # ---- reading ------------------------------------------------------------------
 
 

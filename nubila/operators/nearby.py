@@ -23,6 +23,8 @@ from ..spatial.metrics import METRICS
 from ..spatial.voronoi import CELL_ROWS, MAX_PIVOTS, MAX_SAMPLE, SAMPLE_PER_PIVOT, Partition
 from ..spatial.vptree import VPTree
 
+#: Members of a shared location that one join key holds.
+BLOCK = 4096
 HIT = "near boolean, a bigint, b bigint, a_rows bigint, b_rows bigint, a_tag bigint, b_tag bigint"
 
 
@@ -113,18 +115,43 @@ def near_or_within(points: DataFrame, radius: float, regions: DataFrame | None =
     single = (F.col("a_rows") == 1) & (F.col("b_rows") == 1)
     kind = F.when(F.col("near"), "near").otherwise("within").alias("case_kind")
     plain = hits.where(single).select(kind, "a", "b")
-    shared = locs.where("n > 1").select(*dims, "rep")
-    members = staged(p.join(shared, dims).select("rep", "id", "tag"), "members")
-    a, b = (members.select(F.col("rep").alias(f"{s}_rep"), F.col("id").alias(f"{s}_id"), F.col("tag").alias(f"{s}_of")) for s in "ab")
+    shared = locs.where("n > 1").select(*dims, "rep", "n")
+    members = staged(p.join(shared, dims).select("rep", "id", "tag", _block(F.col("id"), F.col("n")).alias("block")), "members")
     some = hits.where("near" if regions is None else "true").where(~single)
-    # a region's id in column a must not meet a location's
-    some = some.withColumn("a_key", F.when(F.col("near") & (F.col("a_rows") > 1), F.col("a"))).join(a, F.col("a_key") == F.col("a_rep"), "left")
-    some = some.withColumn("b_key", F.when(F.col("b_rows") > 1, F.col("b"))).join(b, F.col("b_key") == F.col("b_rep"), "left")
+    # members come block by block, so no key holds more than BLOCK of them; a region's id in column a must not meet a location's
+    for s, many in (("a", F.col("near") & (F.col("a_rows") > 1)), ("b", F.col("b_rows") > 1)):
+        m = members.select(F.col("rep").alias(f"{s}_key"), F.col("block").alias(f"{s}_block"), F.col("id").alias(f"{s}_id"), F.col("tag").alias(f"{s}_of"))
+        blocks = F.when(many, F.sequence(F.lit(0), _blocks(F.col(f"{s}_rows")) - 1)).otherwise(F.array(F.lit(0)))
+        some = some.withColumns({f"{s}_key": F.when(many, F.col(s)), f"{s}_block": F.explode(blocks)}).join(m, [f"{s}_key", f"{s}_block"], "left")
     tag = lambda s: F.when(F.col(f"{s}_id").isNotNull(), F.col(f"{s}_of")).otherwise(F.col(f"{s}_tag"))
     some = some.where(~F.col("near") | (tag("a") != tag("b"))).select(kind, F.coalesce("a_id", "a").alias("a"), F.coalesce("b_id", "b").alias("b"))
-    same = a.join(b, (F.col("a_rep") == F.col("b_rep")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_of") != F.col("b_of"))).select(F.lit("near").alias("case_kind"), F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     found = plain.unionByName(some)
     if radius > 0:
-        found = found.unionByName(same)
+        found = found.unionByName(_at_one_place(members))
     near = F.col("case_kind") == "near"
     return found.select("case_kind", F.when(near, F.least("a", "b")).otherwise(F.col("a")).alias("id_a"), F.when(near, F.greatest("a", "b")).otherwise(F.col("b")).alias("id_b"))
+
+
+def _blocks(rows):
+    return F.ceil(rows / F.lit(BLOCK)).cast("int")
+
+
+def _block(id_, rows):
+    return F.pmod(F.xxhash64(id_), _blocks(rows)).cast("int")
+
+
+def _at_one_place(members: DataFrame) -> DataFrame:
+    """Pairs of members of one location with different tags: (case_kind, a, b).
+
+    Blocks of the members of each tag are paired first, so every pair of blocks
+    gives only pairs that are asked for, and no key holds more than two blocks.
+    """
+    m = members.where("tag is not null")
+    n = m.groupBy("rep", "tag").agg(F.count(F.lit(1)).alias("of_tag"))
+    m = m.join(n, ["rep", "tag"]).select("rep", "tag", "id", _block(F.col("id"), F.col("of_tag")).alias("block"))
+    groups = n.select("rep", "tag", F.explode(F.sequence(F.lit(0), _blocks(F.col("of_tag")) - 1)).alias("block"))
+    side = lambda d, s: d.select(*(F.col(c).alias(c if c == "rep" else f"{s}_{c}") for c in d.columns))
+    pairs = side(groups, "a").join(side(groups, "b"), "rep").where("a_tag < b_tag")
+    for s in "ab":
+        pairs = pairs.join(side(m, s), ["rep", f"{s}_tag", f"{s}_block"])
+    return pairs.select(F.lit("near").alias("case_kind"), F.col("a_id").alias("a"), F.col("b_id").alias("b"))

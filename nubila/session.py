@@ -36,15 +36,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
     Cuts the lineage like a checkpoint, but columnar: later readers prune
-    columns and push filters, and a lost executor loses nothing.
+    columns and push filters, and a lost executor loses nothing. The table is
+    deleted by ``discard`` or when the JVM ends, whatever file system holds it.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    local = path.removeprefix("file://")
-    if os.path.isdir(local):
-        atexit.register(shutil.rmtree, local, True)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._nubila_stage = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more. What is not a staged table is left alone."""
+    for df in tables:
+        path = getattr(df, "_nubila_stage", None)
+        if path is not None:
+            fs, at = _file_system(df.sparkSession, path)
+            fs.delete(at, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

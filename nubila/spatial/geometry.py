@@ -5,17 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PART_SCHEMA = "region_id bigint, cx double, cy double, radius double, xy binary, ends binary"
 
 
-def clean_ring(ring) -> np.ndarray | None:
-    """Vertices of a ring without nulls and repeats, opened; None below three distinct ones."""
-    if ring is None:
-        return None
-    v = [(p[0], p[1]) for p in ring if p is not None and len(p) > 1 and p[0] is not None and p[1] is not None]
-    v = np.array(v, dtype=float).reshape(-1, 2)
-    v = v[np.isfinite(v).all(axis=1)]
+def clean_ring(v: np.ndarray) -> np.ndarray | None:
+    """Vertices (n x 2) of a ring without repeats, opened; None below three distinct ones."""
     if len(v):
         v = v[np.r_[True, (v[1:] != v[:-1]).any(axis=1)]]
     if len(v) > 1 and (v[0] == v[-1]).all():
@@ -25,24 +21,32 @@ def clean_ring(ring) -> np.ndarray | None:
 
 def polygon_parts(regions: DataFrame, id_col: str = "region_id", coordinates: str = "geom_coordinates") -> DataFrame:
     """One row a polygon: a bounding circle, the vertices of its rings and where each ring ends.
-    A polygon whose outer ring is unusable gives no row; an unusable hole is left out."""
+    A polygon whose outer ring is unusable gives no row; an unusable hole is left out.
+
+    Polygons are taken apart in the JVM: a row of flat coordinates each, without nulls
+    (of polygons, rings, vertices or their values), so a region of any number of polygons is no large row.
+    """
+    usable = lambda v: (F.abs(F.get(v, F.lit(0))) < 1e300) & (F.abs(F.get(v, F.lit(1))) < 1e300)
+    rings = F.transform("polygon", lambda ring: F.filter(F.coalesce(ring, F.array()), usable))
+    p = regions.select(F.col(id_col).cast("bigint").alias("id"), F.explode(coordinates).alias("polygon")).where("id is not null and size(polygon) > 0")
+    p = p.select("id", rings.alias("rings")).select("id", F.transform("rings", F.size).alias("sizes"), F.transform(F.flatten("rings"), lambda v: v[0]).alias("x"), F.transform(F.flatten("rings"), lambda v: v[1]).alias("y"))
 
     def run(batches):
         for pdf in batches:
             out = []
-            for rid, polygons in zip(pdf["id"], pdf["g"]):
-                for polygon in polygons if polygons is not None else ():
-                    rings = [clean_ring(r) for r in polygon] if polygon is not None and len(polygon) else [None]
-                    if rings[0] is None or pd.isna(rid):
-                        continue
-                    rings = [rings[0], *(r for r in rings[1:] if r is not None)]
-                    lo, hi = rings[0].min(axis=0), rings[0].max(axis=0)
-                    c = (lo + hi) / 2
-                    radius = float(np.sqrt(((rings[0] - c) ** 2).sum(axis=1)).max())
-                    out.append((int(rid), c[0], c[1], radius, np.concatenate(rings).tobytes(), np.cumsum([len(r) for r in rings]).astype(np.int64).tobytes()))
+            for rid, sizes, x, y in zip(pdf["id"], pdf["sizes"], pdf["x"], pdf["y"]):
+                parts = np.split(np.stack((x, y), axis=1).astype(float), np.cumsum(sizes)[:-1])
+                rings = [clean_ring(r) for r in parts]
+                if rings[0] is None:
+                    continue
+                rings = [rings[0], *(r for r in rings[1:] if r is not None)]
+                lo, hi = rings[0].min(axis=0), rings[0].max(axis=0)
+                c = (lo + hi) / 2
+                radius = float(np.sqrt(((rings[0] - c) ** 2).sum(axis=1)).max())
+                out.append((int(rid), c[0], c[1], radius, np.concatenate(rings).tobytes(), np.cumsum([len(r) for r in rings]).astype(np.int64).tobytes()))
             yield pd.DataFrame(out, columns=["region_id", "cx", "cy", "radius", "xy", "ends"])
 
-    return regions.selectExpr(f"cast({id_col} as bigint) id", f"{coordinates} g").mapInPandas(run, PART_SCHEMA)
+    return p.mapInPandas(run, PART_SCHEMA)
 
 
 def in_ring(px: np.ndarray, py: np.ndarray, ring: np.ndarray) -> np.ndarray:

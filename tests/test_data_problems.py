@@ -189,3 +189,14 @@ def test_units_of_heights_and_words(spark):
     assert got[3][0] is None and got[3][1] == "cm" and got[4] == ("km", "ft", 1000.0, 0.3048)
     empty = units.in_metres(spark.createDataFrame([], ITEM), spark.createDataFrame([], HEAD))
     assert empty.count() == 0
+
+
+def test_shared_locations_of_many_rows_and_tags(spark, monkeypatch):
+    monkeypatch.setattr(nearby, "BLOCK", 7)
+    rows = [(i, i % 3, 1.0, 1.0, 1.0) for i in range(60)] + [(100 + i, 5, 1.1, 1.0, 1.0) for i in range(20)] + [(200 + i, 9, 40.0, 1.0, 1.0) for i in range(30)] + [(300, None, 1.0, 1.0, 1.0)]
+    square = [[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 2.0]]
+    regions = spark.createDataFrame([(3, 1, [[square], None, []], 5, 1.0)], REGION)
+    got = [tuple(r) for r in nearby.near_or_within(points(spark, rows), 0.3, regions).collect()]
+    known = [r for r in rows if r[1] is not None]
+    assert sorted(r[1:] for r in got if r[0] == "near") == sorted(pairs(known, 0.3))
+    assert sorted(r[2] for r in got if r[0] == "within") == [r[0] for r in rows if r[0] < 120 or r[0] == 300]

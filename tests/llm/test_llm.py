@@ -145,11 +145,16 @@ def test_fm_index(n):
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def passages_of(items):
+    ((vocabulary, (block,), _),) = leakage.stated(items)
+    return vocabulary, leakage.Passages(*block, len(vocabulary) + 2)
+
+
 def leaked(texts, items):
-    p = leakage.Passages(items)
+    vocabulary, p = passages_of(items)
     out = set()
     for d, t in texts:
-        w = [p.vocabulary.get(x, 1) for x in leakage.words_of(t or "")]
+        w = [vocabulary.get(x, 1) for x in leakage.words_of(t or "")]
         grams = {tuple(w[k : k + 12]) for k in range(len(w) - 11)}
         for j, i in enumerate(p.ids):
             own = p.words[j].tolist()
@@ -182,8 +187,10 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(d, t, "en", 1, "c") for d, t in texts], DOC)
     it = spark.createDataFrame([(i, p, "s", 1) for i, p in items], "item_id bigint, passage string, suite string, doc_id int")
     want = leaked(texts, [x for x in items if x[1]])
-    for size in (1 << 19, 600):  # in one shard, and long texts in pieces
-        monkeypatch.setattr(leakage, "SHARD_WORDS", size)
+    for shard, block, most in ((1 << 19, 1 << 17, 1 << 26), (600, 1 << 17, 1 << 26), (1 << 19, 40, 100)):  # in one shard, long texts in pieces, passages in blocks and passes
+        monkeypatch.setattr(leakage, "SHARD_WORDS", shard)
+        monkeypatch.setattr(leakage, "BLOCK_WORDS", block)
+        monkeypatch.setattr(leakage, "PASS_WORDS", most)
         got = leakage.leaks(df, it)
         assert {(r.item_id, r.doc_id) for r in got.collect()} == want and want
     assert (52, 400) in want
@@ -193,19 +200,43 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert leakage.leaks(df, it.limit(0)).count() == 0
 
 
+def test_passages_of_every_small_size_equal_brute_force():
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(9)]
+    items = [(n * 10 + k, " ".join(rng.choice(words[: 4 + k], n))) for n in range(1, 13) for k in range(6)] + [(0, "alpha beta gamma delta")]
+    texts = [(1000 + k, " ".join(rng.choice(words, int(rng.integers(0, 14))))) for k in range(250)] + [(2000, "alpha one two beta delta"), (2001, "alpha"), (2002, "alpha one two three beta delta")]
+    for k in range(150):  # copies with words lost and put in
+        w = items[k % 72][1].split()
+        kept = [x for x in w if rng.random() < 0.85]
+        texts.append((3000 + k, " ".join(y for x in kept for y in ([x] if rng.random() < 0.6 else [x, "other"]))))
+    want = leaked(texts, items)
+    vocabulary, p = passages_of(items)
+    docs = [([d], 0, [vocabulary.get(x, 1) for x in t.split()]) for d, t in texts if t]
+    assert {r[:2] for r in leakage.search_shard(p, leakage.Shard(docs, p.symbols))} == want
+    assert (0, 2000) in want and (0, 2002) not in want and {i // 10 for i, _ in want} == set(range(13))
+
+
+def test_all_seeds_come_from_the_index():
+    vocabulary, p = passages_of([(1, "a b c d e f g h i j"), (2, "x")])
+    docs = [([7], 0, [vocabulary.get(w, 1) for w in "a b q c d q e f g q h i j x".split()])]
+    shard = leakage.Shard(docs, p.symbols)
+    assert {r[:2] for r in leakage.search_shard(p, shard)} == {(1, 7), (2, 7)}
+    shard.index = FMIndex(np.zeros(1, dtype=np.int64), p.symbols)
+    assert leakage.search_shard(p, shard) == []
+
+
 def test_removal_spans_cover_the_whole_passage():
     passage = [f"p{k}" for k in range(60)]
     edited = [f"x{k}" if k % 10 == 9 else w for k, w in enumerate(passage)]  # no 12 words unchanged
     own = [f"f{k}" if k % 3 else passage[(7 * k) % 60] for k in range(80)]  # words of the passage, out of order
-    p = leakage.Passages([(1, " ".join(passage))])
+    vocabulary, p = passages_of([(1, " ".join(passage))])
+    spans_of = lambda ids: [r[3:] for r in leakage.search_shard(p, leakage.Shard([([9], 0, ids)], p.symbols))]
     for text in (own + edited + own[::-1], edited, own + edited + ["and"] * 3 + edited):
-        ids = [p.vocabulary.get(w, 1) for w in text]
-        spans = [(r[3], r[4]) for r in leakage.search_shard(p, [([9], 0, ids)])]
-        inside = {k for a, b in spans for k in range(a, b + 1)}
+        inside = {k for a, b in spans_of([vocabulary.get(w, 1) for w in text]) for k in range(a, b + 1)}
         for at in (k for k in range(len(text)) if text[k : k + 60] == edited):
             assert set(range(at, at + 59)) <= inside  # the last word is one of the changed
-    ids, two = [p.vocabulary.get(w, 1) for w in edited], [1, p.vocabulary["p50"]] * 15
-    assert [r[3:] for r in leakage.search_shard(p, [([9], 0, [1] * 40 + ids + two + ids + [1] * 40)])] == [(40, 98), (130, 188)]
+    ids, two = [vocabulary.get(w, 1) for w in edited], [1, vocabulary["p50"]] * 15
+    assert spans_of([1] * 40 + ids + two + ids + [1] * 40) == [(40, 98), (130, 188)]
 
 
 # ---- reading ------------------------------------------------------------------

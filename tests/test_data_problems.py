@@ -200,3 +200,33 @@ def test_shared_locations_of_many_rows_and_tags(spark, monkeypatch):
     known = [r for r in rows if r[1] is not None]
     assert sorted(r[1:] for r in got if r[0] == "near") == sorted(pairs(known, 0.3))
     assert sorted(r[2] for r in got if r[0] == "within") == [r[0] for r in rows if r[0] < 120 or r[0] == 300]
+
+
+def _ways(spark, rows, ranges=()):
+    """source_factors of (file, source a, x, source b, y, step) in y, and of whole extents."""
+    v = []
+    for k, a, x, fa, b, y, fb, step in rows:
+        v += [(k, "item", "miny", a, fa, x, 0.0), (k, "header", "miny", b, fb, y, step)]
+    for k, a, xs, fa, b, ys, fb in ranges:
+        v += [(k, "item", q, a, fa, x, 0.0) for q, x in zip(("miny", "maxy"), xs)] + [(k, "header", q, b, fb, y, 0.0) for q, y in zip(("miny", "maxy"), ys)]
+    df = spark.createDataFrame(v, "file_id bigint, recorded_in string, quantity string, source string, factor double, value double, step double")
+    return {r.source: r for r in units.source_factors(df).collect()}
+
+
+def test_thin_evidence_leaves_the_declared_foot_and_more_overrules_it(spark):
+    us = 1200 / 3937
+    rows = [(1, "m", 5e6, 1.0, "foot", 5e6 / 0.3048 * (1 - 2e-6), 0.3048, 0.0)]
+    rows += [(10 + k, "m", 5e6 + k, 1.0, "feet", (5e6 + k) / us, 0.3048, 1e-3) for k in range(9)]
+    rows += [(30 + k, "m", 200.0 + k, 1.0, "coarse", round((200.0 + k) / us, 1), 0.3048, 0.1) for k in range(9)]
+    rows += [(50, "m", 5e6, 1.0, "file:50", 5e8, None, 1.0), (51, "chain", 5e6 / 0.01, None, "file:50", 5e8, None, 1.0)]
+    got = _ways(spark, rows)
+    assert (got["foot"].metre_factor, got["foot"].how) == (0.3048, "declared")
+    assert (got["feet"].metre_factor, got["feet"].how) == (us, "graph")  # nine sharp ratios against the text
+    assert (got["coarse"].metre_factor, got["coarse"].how) == (0.3048, "graph")  # too coarse to tell: the text
+    assert got["file:50"].metre_factor == 0.01 and got["chain"].metre_factor == pytest.approx(0.01)
+
+
+def test_an_offset_beside_the_scale(spark):
+    rows = [(k, "m", (5e6 + 900 * k, 5e6 + 900 * k + 300 + k), 1.0, "local", tuple((v - 4.2e6) / 0.3048 for v in (5e6 + 900 * k, 5e6 + 900 * k + 300 + k)), 0.3048) for k in range(12)]
+    got = _ways(spark, [], rows)["local"]
+    assert got.metre_factor == 0.3048 and got.y == pytest.approx(4.2e6) and got.x == got.z == 0.0

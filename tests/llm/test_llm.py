@@ -45,8 +45,81 @@ def test_clusters_are_what_links_connect(spark):
     for least in (1, 10):
         got = mcl.markov_clusters(df, 1.0, least, cell_rows=40).select("cluster", "id").collect()
         assert sorted(map(tuple, got)) == sorted(grouped(p, 1.0, least))
-    told = mcl.describe(mcl.markov_clusters(df, 1.0, 10, cell_rows=40)).collect()
-    assert all(len(r.typical) == 3 and r["size"] >= 10 for r in told)
+    whole = mcl.describe(mcl.markov_clusters(df, 1.0, 10)).collect()
+    for more in ({"cell_rows": 40}, {"cell_rows": 15}, {"cell_rows": 40, "block_nodes": 30}):  # in cells, across them, and as joins
+        told = mcl.describe(mcl.markov_clusters(df, 1.0, 10, **more)).collect()
+        assert sorted(map(str, told)) == sorted(map(str, whole)) and all(len(r.typical) == 3 and r["size"] >= 10 for r in told)
+
+
+def row_matrix(p, radius, inflation):
+    """Markov clustering of all rows, one by one: (most of each column, flow into each row, flow after a round)."""
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    m = np.where(d < radius, 1 - 0.9 * d / radius, 0)
+    np.fill_diagonal(m, 0)
+    np.fill_diagonal(m, np.where(m.max(axis=0) > 0, m.max(axis=0), 1))
+    m, first = m / m.sum(axis=0), None
+    for _ in range(mcl.ROUNDS):
+        old, m = m, (m @ m) ** inflation
+        m /= m.sum(axis=0)
+        m[(m < 1e-9) & (m < m.max(axis=0))] = 0
+        m /= m.sum(axis=0)
+        first = m.sum(axis=1) if first is None else first
+        if np.abs(m - old).max() < 1e-7:
+            break
+    return m, m.sum(axis=1), first
+
+
+def test_flow_is_that_of_the_matrix_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    p = np.round(rng.uniform(0, 6, (90, 3)) * (1, 1, 0.1), 2)
+    p = np.concatenate((p, p[:15], p[:5]))
+    m, flow, pull = row_matrix(p, 1.0, mcl.INFLATION)
+    df = spark.createDataFrame([(i, *map(float, v), 1, "n", 2) for i, v in enumerate(p)], POINT)
+    place = {tuple(v): i for i, v in reversed(list(enumerate(p.tolist())))}
+    at = np.array([place[tuple(v)] for v in p.tolist()])
+    got = {r.id: r for r in mcl.markov_clusters(df, 1.0, cell_rows=10**6).collect()}
+    for want, name, error in ((flow, "flow", 0.35), (pull, "pull", 0.1)):
+        of = np.bincount(at, want, len(p))[at]
+        assert np.abs(of - [got[i][name] for i in range(len(p))]).max() < error  # small entries are pruned
+    mass = np.zeros((len(p), len(p)))
+    np.add.at(mass, at, m)
+    sure = np.sort(mass, axis=0)[-1] > np.sort(mass, axis=0)[-2] + 0.2
+    assert sure.mean() > 0.8 and all(got[i].attractor == mass[:, i].argmax() for i in np.flatnonzero(sure))
+
+
+def test_blocks_dense_sparse_and_distributed_agree(spark):
+    rng = np.random.default_rng(7)
+    p = rng.uniform(0, 5, (120, 2))
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    a, b = np.nonzero(np.triu(d < 0.9, 1))
+    w, rows = 1 - 0.9 * d[a, b] / 0.9, rng.integers(1, 4, 120)
+    block = mcl.linked(120, a, b)
+    want = mcl.block_flow(block, a, b, w, rows)
+    groups = set()
+    for inflation in (1.3, 2.0, 4.0):
+        groups.add(len(np.unique(mcl.block_flow(block, a, b, w, rows, inflation)[0])))
+    assert len(groups) == 3  # inflation sets how fine the attractor groups are
+    sparse = mcl.sparse_flow(120, a, b, w, rows.astype(float))
+    nodes = spark.createDataFrame([(i, int(r)) for i, r in enumerate(rows)], "node bigint, n bigint")
+    links = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), w.tolist())), "a bigint, b bigint, w double")
+    joined = {r.node: r for r in mcl.distributed_flow(nodes, links).collect()}
+    for k, name in enumerate(("attractor", "flow", "pull")):
+        assert np.allclose(want[k], sparse[k], atol=0.05) and np.allclose(want[k], [joined[i][name] for i in range(120)], atol=0.05)
+    assert want[1].sum() == pytest.approx(rows.sum())
+
+
+def test_crowded_places_stay_few_nodes(spark):
+    rng = np.random.default_rng(9)
+    crowd = rng.uniform(0, 0.4, (6000, 3)) + (0.05, 0.05, 0.05)
+    p = np.concatenate((crowd, [[1.44, 0.2, 0.2], [2.4, 0.2, 0.2], [1.5, 3, 0]], crowd[:700] + (0, 1.6, 0), crowd[:300] + (30, 0, 0)))
+    node = mcl._nodes(p, np.ones(len(p), dtype=bool), 1.0, "euclidean")
+    a, b, w = mcl._links(p, np.ones(len(p), dtype=bool), node, 1.0, "euclidean")
+    assert len(np.unique(node[:6000])) < 100 and len(a) < 10_000
+    df = spark.createDataFrame([(i, *map(float, v), 1, "n", 2) for i, v in enumerate(p)], POINT)
+    for cells in (10**6, 900):
+        got = mcl.markov_clusters(df, 1.0, 10, cell_rows=cells).select("cluster", "id").collect()
+        near = {(0, i) for i in range(6002)}  # both single ones are linked through others, the third is alone
+        assert {tuple(r) for r in got} - {(r, i) for r in (6003, 6703) for i in range(6003, 7003)} == near or len(got) == 7002
 
 
 def test_clusters_of_nothing_and_of_bad_rows(spark):
@@ -55,13 +128,11 @@ def test_clusters_of_nothing_and_of_bad_rows(spark):
     assert {tuple(r) for r in mcl.markov_clusters(spark.createDataFrame(rows, POINT), 1.0, 2).select("cluster", "id").collect()} == {(1, 1), (1, 4)}
 
 
-def test_dense_rows_stay_one_node():
-    rng = np.random.default_rng(0)
+def test_dense_rows_stay_one_group():
     a, b = np.triu_indices(6, 1)
-    attractor, flow = mcl.markov_flow(6, a, b, np.ones(len(a)))
-    assert set(attractor.tolist()) == {0} and flow.sum() == pytest.approx(6)
-    group, _ = mcl.contracted(5, np.array([0, 1, 2]), np.array([1, 2, 3]), rng.random(3))
-    assert len(set(group[:4].tolist())) == 1 and group[4] == 4
+    attractor, flow, pull = mcl.block_flow(np.zeros(6, dtype=int), a, b, np.ones(len(a)), np.ones(6))
+    assert set(attractor.tolist()) == {0} and flow.sum() == pytest.approx(6) and pull.sum() == pytest.approx(6)
+    assert mcl.linked(5, np.array([0, 1, 2]), np.array([1, 2, 3])).tolist() == [0, 0, 0, 0, 4]
 
 
 # ---- percentiles --------------------------------------------------------------

@@ -2,19 +2,22 @@
 
 Texts are cut into chunks where a rolling hash of the last bytes says so; what
 documents share has the same chunks wherever it stands, and each chunk is
-encoded once a task. Cuts are taken where the tokenizer's splitting cannot
-reach across (a change between letters, digits, signs and white space). Each
-kind of join is proved once by encoding both sides together; where that does
-not agree, the two chunks are encoded again as one, until all joins agree.
-
-No shuffle: a table of all chunks would move the corpus twice, which costs more
-than encoding it.
+encoded once a task. Cuts are taken only where the tokenizer's splitting ends a piece
+whatever follows (a change between letters, digits, signs and white space, not behind white
+space and not beside an apostrophe), and merges never cross pieces, so the ids of chunks side by side
+are those of the whole. Each kind of join is proved all the same, by encoding
+its nearest words apart and together; where that does not agree, the chunks
+are encoded again as one, back and back until all joins agree.
+
+No shuffle: of this project's speeches 4.4 % of the bytes stand in a chunk that occurred
+before, and a table of all chunks would move the other 95.6 % as well, twice (README).
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +27,30 @@ from pyspark.sql import functions as F
 TOKENIZERS = os.environ.get("NUBILA_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: how the byte-level vocabulary of 50,256 splits texts.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: One candidate of 2**MASK_BITS becomes a cut; bytes of chunks a task remembers; bytes hashed at a time.
-MASK_BITS, REMEMBER, AT_ONCE = 5, 48 << 20, 1 << 20
+#: Bytes of a vocabulary that are sent to every task.
+MAX_VOCABULARY = 32 << 20
+#: One candidate of 2**MASK_BITS becomes a cut; bytes of chunks a task remembers, twice; bytes hashed at a time.
+MASK_BITS, REMEMBER, AT_ONCE = 5, 24 << 20, 1 << 20
 _ENCODERS: dict = {}
 
 
-def encoder(name: str, folder: str):
-    """Of a .tiktoken file of ranks; once a worker process."""
-    key = (folder, name)
+def ranks_file(name: str, folder: str) -> bytes:
+    """The vocabulary, read by the driver; it goes to the tasks, which need no folder of their own."""
+    path = os.path.join(folder, f"{name}.tiktoken")
+    if os.path.getsize(path) > MAX_VOCABULARY:
+        raise ValueError(f"{path} is larger than MAX_VOCABULARY")
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encoder(name: str, ranks: bytes):
+    """Of the lines of a vocabulary (token in base64, rank); built once a worker process."""
+    key = (name, len(ranks), zlib.crc32(ranks))
     if key not in _ENCODERS:
         import tiktoken
 
-        with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _ENCODERS[key] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
+        _ENCODERS[key] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
     return _ENCODERS[key]
 
 
@@ -72,23 +85,28 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 class ChunkEncoder:
-    def __init__(self, name: str, folder: str):
-        self.encode = encoder(name, folder).encode_ordinary
+    def __init__(self, name: str, ranks: bytes):
+        self.encode = encoder(name, ranks).encode_ordinary
         self.known: dict[bytes, np.ndarray] = {}
+        self.before: dict[bytes, np.ndarray] = {}  # the generation before, so that what is asked again stays
         self.proved: dict[tuple[bytes, bytes], bool] = {}
         self.size = self.reused = self.asked = 0
 
     def ids(self, chunk: bytes) -> np.ndarray:
         self.asked += 1
         got = self.known.get(chunk)
+        if got is not None:
+            self.reused += 1
+            return got
+        got = self.before.get(chunk)
         if got is None:
-            if self.size > REMEMBER:
-                self.known.clear()
-                self.size = 0
-            got = self.known[chunk] = np.array(self.encode(chunk.decode("utf-8", "surrogatepass")), dtype=np.int32)
-            self.size += len(chunk) + got.nbytes + 150
+            got = np.array(self.encode(chunk.decode("utf-8", "surrogatepass")), dtype=np.int32)
         else:
             self.reused += 1
+        if self.size > REMEMBER:
+            self.before, self.known, self.size = self.known, {}, 0
+        self.known[chunk] = got
+        self.size += len(chunk) + got.nbytes + 150
         return got
 
     def agrees(self, a: bytes, b: bytes) -> bool:
@@ -104,18 +122,14 @@ class ChunkEncoder:
         return got
 
     def text(self, data: bytes, marks: list[int]) -> list[np.ndarray]:
-        out, start = [], 0
-        ends = [*marks, len(data)]
-        last = None
-        for end in ends:
+        parts, start = [], 0
+        for end in (*marks, len(data)):
             chunk = data[start:end]
             start = end
-            if last is not None and not self.agrees(last, chunk):
-                out.pop()
-                chunk = last + chunk
-            out.append(self.ids(chunk))
-            last = chunk
-        return out
+            while parts and not self.agrees(parts[-1], chunk):  # one chunk now, whose own join is asked again
+                chunk = parts.pop() + chunk
+            parts.append(chunk)
+        return [self.ids(c) for c in parts]
 
     def batch(self, texts: pa.Array) -> pa.Array:
         flat: list[np.ndarray] = []
@@ -148,8 +162,10 @@ def encoded(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str =
     texts give an empty list, a null id stays null, repeated rows are repeated.
     """
 
+    ranks = ranks_file(tokenizer, folder)
+
     def run(batches):
-        enc = ChunkEncoder(tokenizer, folder)
+        enc = ChunkEncoder(tokenizer, ranks)
         for b in batches:
             for k in range(0, b.num_rows, 2000):
                 part = b.slice(k, 2000)

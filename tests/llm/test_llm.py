@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nubila.llm import encode, leakage, mcl, percentiles, reading
 from nubila.llm.fmindex import FMIndex, suffix_order
+from nubila.llm.syllables import syllables
 
 POINT = "pid bigint, x double, y double, z double, label bigint, n string, cell int"
 DOC = "doc_id bigint, text string, lang string, words int, ids string"
@@ -182,7 +183,7 @@ def test_ids_are_those_of_the_whole_text(spark):
     got = {r.doc_id: r.ids for r in encode.encoded(df).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert encode.encoded(spark.createDataFrame([], DOC)).count() == 0
-    enc = encode.ChunkEncoder("byte_bpe_50k", encode.TOKENIZERS)
+    enc = encode.ChunkEncoder("byte_bpe_50k", encode.ranks_file("byte_bpe_50k", encode.TOKENIZERS))
     import pyarrow as pa
 
     enc.batch(pa.array(texts))
@@ -191,10 +192,21 @@ def test_ids_are_those_of_the_whole_text(spark):
 
 @pytest.mark.skipif(not os.path.exists(encode.TOKENIZERS), reason="no tokenizer files")
 def test_joins_that_do_not_agree_are_encoded_together():
-    enc = encode.ChunkEncoder("byte_bpe_50k", encode.TOKENIZERS)
+    enc = encode.ChunkEncoder("byte_bpe_50k", encode.ranks_file("byte_bpe_50k", encode.TOKENIZERS))
     data = b"unbelievable stories"
     for cut in range(1, len(data)):
         assert np.concatenate(enc.text(data, [cut])).tolist() == enc.encode(data.decode())
+    assert np.concatenate(enc.text(data, list(range(1, len(data))))).tolist() == enc.encode(data.decode())  # merged back and back
+
+
+@pytest.mark.skipif(not os.path.exists(encode.TOKENIZERS), reason="no tokenizer files")
+def test_chunks_are_found_again_after_the_cache_turned(monkeypatch):
+    monkeypatch.setattr(encode, "REMEMBER", 2000)
+    enc = encode.ChunkEncoder("byte_bpe_50k", encode.ranks_file("byte_bpe_50k", encode.TOKENIZERS))
+    for k in range(30):
+        enc.ids(b"always the same")
+        enc.ids(b"new %d" % k)
+    assert enc.reused == 29 and enc.asked == 60
 
 
 # ---- leakage ------------------------------------------------------------------
@@ -314,9 +326,25 @@ def test_removal_spans_cover_the_whole_passage():
 
 
 def test_syllables():
-    for lang, words in {"en": {"cat": 1, "table": 2, "make": 1, "united": 3, "nation": 2}, "de": {"Haus": 1, "Theater": 3}, "fr": {"école": 2, "parlent": 1, "nation": 2}}.items():
-        for w, n in words.items():
-            assert abs(reading.syllables(w, lang) - n) <= (1 if lang == "fr" else 0), (lang, w)
+    known = {
+        "en": "cat 1 table 2 make 1 united 3 nation 2 created 3 science 2 being 2 idea 3 area 3 people 2 business 2 something 2 statement 2 element 3 the 1 houses 2 changed 1 wanted 2 sea 1 beyond 2 dying 2 question 2 social 2 society 4 patient 2 client 2 actual 3 language 2 quiet 2 fluid 2 real 2 theatre 3 video 3 going 2 poet 2 chaos 2 parliament 3 responsibilities 6 administrations 5 unprecedented 5 rehabilitate 5 reevaluate 5 lonely 2 safety 2 ocean 2 piece 1 friend 1 rhythm 1",
+        "de": "Haus 1 Theater 3 Familien 4 Nation 3 Parteien 3 Bauern 2 Freude 2 Wien 1 beenden 3 Quelle 2 Verantwortlichkeiten 6 Museum 3",
+        "fr": "école 2 parlent 1 nation 2 souvent 2 moment 2 gouvernement 4 créer 2 évalué 4 poésie 3 quatre 1 naïve 2 tiennent 1 argent 2 président 3 les 1 famille 2",
+    }
+    for lang, text in known.items():
+        it = iter(text.split())
+        wrong = [(w, n, syllables(w, lang)) for w, n in zip(it, it) if syllables(w, lang) != int(n)]
+        assert not wrong, wrong
+    assert syllables("палата", "other") == 1 and syllables("casa", "other") == 2 and syllables("x" * 10_000, "en") == 1
+
+
+def test_counts_of_very_long_texts_and_languages_of_whole_texts():
+    cache: dict = {}
+    text = "letters " * 3_000_000
+    assert reading.measure(text, "en", cache)[3:8] == (3_000_000, 6_000_000, 0, 21_000_000, 3_000_000)
+    german = "wir sehen die Tore und ihre Felder gegen alle Deiche . "
+    assert reading.measure("They see all of the gates. " * 60 + german * 200, None, cache)[0] == "de"
+    assert reading.measure("ja wer hat das gesagt", "??", cache)[0] == "de" and reading.measure("Casa blanca ma non troppo fa bene", None, cache)[0] == "other"
 
 
 def test_bands_follow_ratings(spark):
@@ -348,8 +376,21 @@ def test_formulas_and_asides_are_left_out():
     cache = {}
     plain = reading.measure("We build homes. They need roads.", "en", cache)
     noisy = reading.measure("Smith (LP): We build (Applause.) homes. – Abg. Muster: Quatsch! – They need [x] roads.", "en", cache)
-    assert plain[1:3] == noisy[1:3] == (2, 6)
-    assert reading.measure("M. Dupont parle. Non.", "fr", cache)[1] == 2
+    assert plain[2:4] == noisy[2:4] == (2, 6) and plain[1] == noisy[1]
+    assert reading.measure("M. Dupont parle. Non.", "fr", cache)[2] == 2
+
+
+def test_formulas_are_what_many_texts_and_speakers_share(spark):
+    own = [f"We plan road number {'abcdefghijklmnopqrstuvwxyz'[k % 26] * (1 + k // 26)} now." for k in range(60)]
+    docs = [(k, f"{own[k]} Then we rest. {'The item is closed. ' if k % 2 else ''}{own[(k + 5) % 60]}", "en", k % 5) for k in range(60)]
+    docs += [(100 + k, "A copied speech about gates. It ends here.", "en", k) for k in range(40)]  # copies are one text
+    docs += [(200 + k, f"{own[k]} My own saying. More.", "en", 77) for k in range(30)]  # one speaker
+    feats = reading.features(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, speaker_id bigint"))
+    got = {r.h for r in reading.formulas(feats).collect()}
+    h = lambda t: reading._hash(t)
+    assert {h("then we rest"), h("the item is closed")} <= got and not got & {h("it ends here"), h("my own saying"), h("more")}
+    left = {r.doc_id: r.words for r in reading.without_formulas(feats).collect()}
+    assert left[100] == 8 and left[1] < 17
 
 
 def test_best_cuts():

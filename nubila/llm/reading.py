@@ -7,7 +7,7 @@ grade. These lines and the cut points between bands, one set a language, are
 fitted on human ratings.
 
 A procedural formula is a sentence of fewer than FORMULA_WORDS words that stands in at least
-FORMULA_SHARE of the different texts and that FORMULA_SPEAKERS speakers use, at
+FORMULA_SHARE of the different texts, and in FORMULA_LEAST of them by as many speakers, at
 every size of the corpus and wherever it stands. Copies of a text count once.
 """
 
@@ -27,7 +27,7 @@ from .syllables import syllables
 
 #: Ratings used to fit the cut points, and the weight, in ratings, that a language's share of all other ratings has beside its own.
 MAX_RATINGS, OTHERS = 200_000, 6.0
-FORMULA_WORDS, FORMULA_SHARE, FORMULA_SPEAKERS = 16, 0.001, 3
+FORMULA_WORDS, FORMULA_SHARE, FORMULA_LEAST = 16, 0.001, 3
 #: Formulas that are sent to every task; more of them are joined by a shuffle.
 SENT_FORMULAS = 100_000
 
@@ -142,11 +142,11 @@ def formulas(feats: DataFrame) -> DataFrame:
     said = feats.where("size(short) > 0").select("body", "speaker", F.explode(F.array_distinct(F.transform("short", lambda x: x["h"]))).alias("h"))
     # a speaker and a text count once, before anything is gathered by sentence
     texts = said.select("h", "body").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("texts"))
-    least = FORMULA_SHARE * feats.where("sentences > 0").select("body").distinct().count()
+    least = max(FORMULA_LEAST, FORMULA_SHARE * feats.where("sentences > 0").select("body").distinct().count())
     often = staged(texts.where(F.col("texts") >= least), "often")
     send = F.broadcast if often.count() <= SENT_FORMULAS else lambda d: d
     speakers = said.join(send(often), "h").select("h", "speaker").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("speakers"))
-    return speakers.where(F.col("speakers") >= FORMULA_SPEAKERS).select("h")
+    return speakers.where(F.col("speakers") >= FORMULA_LEAST).select("h")
 
 
 def without_formulas(feats: DataFrame) -> DataFrame:

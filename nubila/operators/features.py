@@ -165,18 +165,19 @@ def optimalneighborhood(df: DataFrame, min_k: int = 10, max_k: int = 14) -> Data
 
     def run(batches):
         for pdf in batches:
-            ks, rs = [], []
-            for flat in pdf["p"]:
-                p = np.vstack((np.zeros(3), np.asarray(flat, dtype=float).reshape(-1, 3)))
-                best = (np.inf, 0, 0.0)
-                for k in range(min_k, min(max_k, len(p)) + 1):
-                    w = np.linalg.eigvalsh(np.cov(p[:k].T))
-                    w = np.maximum(w, 0) / max(w.sum(), 1e-300)
-                    e = -float(sum(x * math.log(x) for x in w if x > 0))
-                    if e < best[0]:
-                        best = (e, k, float(np.linalg.norm(p[k - 1])))
-                ks.append(best[1])
-                rs.append(best[2])
+            ks, rs = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf))
+            best, size = np.full(len(pdf), np.inf), pdf["p"].map(len).to_numpy() // 3 + 1
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                p = np.zeros((len(at), n, 3))
+                p[:, 1:] = np.stack(pdf["p"].iloc[at].to_numpy()).reshape(len(at), n - 1, 3) if n > 1 else 0
+                for k in range(min_k, min(max_k, n) + 1):
+                    c = p[:, :k] - p[:, :k].mean(axis=1, keepdims=True)
+                    w = np.maximum(np.linalg.eigvalsh(np.matmul(c.transpose(0, 2, 1), c) / (k - 1)), 0)
+                    w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
+                    e = -(w * np.log(np.where(w > 0, w, 1))).sum(axis=1)
+                    less = e < best[at]
+                    best[at[less]], ks[at[less]], rs[at[less]] = e[less], k, np.linalg.norm(p[less, k - 1], axis=1)
             yield pd.DataFrame({"pid": pdf["pid"], "OptimalKNN": ks, "OptimalRadius": rs})
 
     return _with(df, others.mapInPandas(run, "pid bigint, OptimalKNN bigint, OptimalRadius double"), OptimalKNN=0, OptimalRadius=0.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,35 +63,58 @@ def _circle(p, t):
     return (ax + ux, ay + uy, ux * ux + uy * uy)
 
 
-def delaunay(df: DataFrame, tile: float | None = None) -> DataFrame:
-    """(a, b, c): triangles as pids, counterclockwise, of the whole cloud, or tile by tile (``tile``: side length).
+def delaunay(df: DataFrame) -> DataFrame:
+    """(a, b, c, view_id, face_seq): triangles as pids, counterclockwise, of each view (the whole cloud without views), in order.
 
-    Without ``tile`` the cloud is triangulated in one task, as a triangulation
-    has no seams; give a tile for what is too large for that.
+    A triangulation has no seams, so a view is one task's; split a cloud of many files
+    by file or tile into views first.
     """
-    d = df.select("pid", "X", "Y")
-    key = [F.floor(F.col("X") / tile), F.floor(F.col("Y") / tile)] if tile else [F.lit(0), F.lit(0)]
-    d = d.withColumns({"_tx": key[0], "_ty": key[1]})
+    d = df.select("pid", "X", "Y", F.col("view_id").cast("bigint").alias("view_id") if "view_id" in df.columns else F.lit(0).cast("bigint").alias("view_id"))
 
-    def run(pdf):
+    def run(key, pdf):
         pdf = pdf.sort_values("pid")
         t = triangulate(pdf[["X", "Y"]].to_numpy(float))
-        return pd.DataFrame(pdf["pid"].to_numpy()[t], columns=["a", "b", "c"]) if len(t) else pd.DataFrame(columns=["a", "b", "c"])
+        out = pd.DataFrame(pdf["pid"].to_numpy()[t] if len(t) else np.empty((0, 3), dtype=np.int64), columns=["a", "b", "c"])
+        return out.assign(view_id=key[0], face_seq=np.arange(len(out)))
+
+    return d.groupBy("view_id").applyInPandas(run, "a bigint, b bigint, c bigint, view_id bigint, face_seq bigint")
 
-    return d.groupBy("_tx", "_ty").applyInPandas(run, "a bigint, b bigint, c bigint")
 
+def heights(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Z at each q (n x 2) of the Delaunay surface of its own k points (n x k x 3); NaN outside.
 
-def height_in_triangles(x: float, y: float, p: np.ndarray) -> float | None:
-    """Z at x, y of the Delaunay surface of points p (n x 3); None outside."""
-    t = triangulate(p[:, :2])
-    for a, b, c in t:
-        (x1, y1, z1), (x2, y2, z2), (x3, y3, z3) = p[a], p[b], p[c]
-        det = (y2 - y3) * (x1 - x3) + (x3 - x2) * (y1 - y3)
-        u, v = ((y2 - y3) * (x - x3) + (x3 - x2) * (y - y3)) / det, ((y3 - y1) * (x - x3) + (x1 - x3) * (y - y3)) / det
-        w = 1 - u - v
-        if min(u, v, w) >= -1e-12:
-            return u * z1 + v * z2 + w * z3
-    return None
+    Of all choices of three points the first whose triangle holds q and whose circle holds no other point.
+    """
+    n, k, _ = p.shape
+    out = np.full(n, np.nan)
+    todo = np.arange(n)
+    r = p[:, :, :2] - q[:, None]
+    scale = np.maximum(np.abs(r).max(axis=(1, 2)), 1e-300)[:, None, None]
+    r = r / scale
+    lift = (r**2).sum(axis=2)
+    for i, j, m in itertools.combinations(range(k), 3):
+        if not len(todo):
+            break
+        a, b, c = r[todo, i], r[todo, j], r[todo, m]
+        det = (b[:, 1] - c[:, 1]) * (a[:, 0] - c[:, 0]) + (c[:, 0] - b[:, 0]) * (a[:, 1] - c[:, 1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u = ((b[:, 1] - c[:, 1]) * -c[:, 0] + (c[:, 0] - b[:, 0]) * -c[:, 1]) / det
+            v = ((c[:, 1] - a[:, 1]) * -c[:, 0] + (a[:, 0] - c[:, 0]) * -c[:, 1]) / det
+        ok = (np.abs(det) > 1e-12) & (np.minimum(np.minimum(u, v), 1 - u - v) >= -1e-12)
+        at = np.flatnonzero(ok)
+        if not len(at):
+            continue
+        rows = todo[at]
+        # the plane through the three lifted points: no point of the others lies below it
+        la, lb, lc = lift[rows, i], lift[rows, j], lift[rows, m]
+        A = np.stack((a[at] - c[at], b[at] - c[at]), axis=1)
+        g = np.linalg.solve(A, np.stack((la - lc, lb - lc), axis=1)[:, :, None])[:, :, 0]
+        plane = lc[:, None] + ((r[rows] - c[at][:, None]) * g[:, None]).sum(axis=2)
+        empty = (lift[rows] - plane >= -1e-9).all(axis=1)
+        rows, at = rows[empty], at[empty]
+        out[rows] = u[at] * p[rows, i, 2] + v[at] * p[rows, j, 2] + (1 - u[at] - v[at]) * p[rows, m, 2]
+        todo = np.setdiff1d(todo, rows, assume_unique=True)
+    return out
 
 
 def hag_delaunay(df: DataFrame, count: int = 10, allow_extrapolation: bool = True, ground_class: int = 2) -> DataFrame:
@@ -103,11 +128,13 @@ def hag_delaunay(df: DataFrame, count: int = 10, allow_extrapolation: bool = Tru
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for x, y, z, flat in zip(pdf["X"], pdf["Y"], pdf["Z"], pdf["g"]):
-                p = np.asarray(flat, dtype=float).reshape(-1, 3)
-                h = height_in_triangles(x, y, p)
-                out.append(z - h if h is not None else (z - p[0, 2] if allow_extrapolation else 0.0))
+            z, out = pdf["Z"].to_numpy(float), np.zeros(len(pdf))
+            size = pdf["g"].map(len).to_numpy() // 3
+            for k in np.unique(size):
+                at = np.flatnonzero(size == k)
+                p = np.stack(pdf["g"].iloc[at].to_numpy()).reshape(len(at), k, 3)
+                h = heights(pdf[["X", "Y"]].to_numpy(float)[at], p)
+                out[at] = np.where(np.isnan(h), z[at] - p[:, 0, 2] if allow_extrapolation else 0.0, z[at] - h)
             yield pd.DataFrame({"pid": pdf["pid"], "HeightAboveGround": out})
 
     h = g.mapInPandas(run, "pid bigint, HeightAboveGround double")
@@ -115,8 +142,10 @@ def hag_delaunay(df: DataFrame, count: int = 10, allow_extrapolation: bool = Tru
 
 
 def faceraster(points: DataFrame, faces: DataFrame, resolution: float, origin: tuple[float, float], width: int, height: int, max_triangle_edge_length: float | None = None) -> DataFrame:
-    """(i, j, value): height of the first face over each cell centre; cells without a face are absent."""
-    f = faces if "face_seq" in faces.columns else faces.withColumn("face_seq", F.xxhash64("a", "b", "c"))
+    """(i, j, value): height of the first face (by view, then order) over each cell centre; cells without a face are absent."""
+    view = F.col("view_id") if "view_id" in faces.columns else F.lit(0)
+    seq = F.col("face_seq") if "face_seq" in faces.columns else F.least("a", "b", "c")
+    f = faces.select("a", "b", "c", F.struct(view.alias("view"), seq.alias("seq")).alias("face_seq"))
     for k in "abc":
         f = f.join(points.select(F.col("pid").alias(k), *((F.col(d)).alias(f"{d}{k}") for d in "XYZ")), k)
     if max_triangle_edge_length is not None:

@@ -12,7 +12,7 @@ from ..functions.dims import coerce
 from ..functions.expression import assignment, range_condition
 from ..session import staged
 from ..spatial.components import components
-from ..spatial.neighbors import knn_join, radius_join
+from ..spatial.neighbors import knn_join, places, radius_counts, radius_join
 from .assign import _type
 
 XYZ, XY = ["X", "Y", "Z"], ["X", "Y"]
@@ -34,8 +34,9 @@ def nndistance(df: DataFrame, k: int = 10, mode: str = "kth") -> DataFrame:
 
 def radialdensity(df: DataFrame, radius: float = 1.0) -> DataFrame:
     """RadialDensity: rows within the radius, itself included, by the sphere's volume (with pi as 3.14159)."""
-    n = radius_join(df, df, radius, XYZ).groupBy(F.col("lpid").alias("pid")).agg((F.count(F.lit(1)) / (4.0 / 3.0 * 3.14159 * radius**3)).alias("RadialDensity"))
-    return _with(df, n)
+    at = places(df, XYZ)
+    n = radius_counts(at, at, radius, XYZ).select(*XYZ, (F.col("count") / (4.0 / 3.0 * 3.14159 * radius**3)).alias("RadialDensity"))
+    return _with(df, df.select("pid", *XYZ).join(n, XYZ).select("pid", "RadialDensity"))
 
 
 def lof(df: DataFrame, minpts: int = 10) -> DataFrame:
@@ -61,8 +62,9 @@ def outlier(df: DataFrame, method: str = "statistical", min_k: int = 2, radius:
     """Classification = ``class_`` for rows with at most min_k rows in the radius (itself included), or whose mean distance to
     mean_k neighbours is at least mean + multiplier * deviation of all. Where all would be outliers, none is."""
     if method == "radius":
-        n = radius_join(df, df, radius, XYZ).groupBy(F.col("lpid").alias("pid")).agg(F.count(F.lit(1)).alias("_n"))
-        marked = n.select("pid", (F.col("_n") <= min_k).alias("_out"))
+        at = places(df, XYZ)
+        n = radius_counts(at, at, radius, XYZ)
+        marked = df.select("pid", *XYZ).join(n, XYZ).select("pid", (F.col("count") <= min_k).alias("_out"))
     else:
         n = knn_join(df, df, mean_k + 1, XYZ).groupBy(F.col("lpid").alias("pid")).agg((F.sum(F.sqrt("d2")) / mean_k).alias("_d"))
         n = staged(n, "means")
@@ -85,10 +87,12 @@ def _numbered(df: DataFrame, least: DataFrame, column: str, first: int, none: in
 
 def cluster(df: DataFrame, min_points: int = 1, max_points: int | None = None, tolerance: float = 1.0, is3d: bool = True) -> DataFrame:
     """ClusterID: components of the radius graph with min_points to max_points rows, numbered from 1 in order of their first row; else 0."""
-    links = radius_join(df, df, tolerance, XYZ if is3d else XY).where("lpid < rpid").select(F.col("lpid").alias("a"), F.col("rpid").alias("b"))
+    dims = XYZ if is3d else XY
+    at = places(df, dims)  # rows of one location are together
+    links = radius_join(at, at, tolerance, dims).where("lpid < rpid").select(F.col("lpid").alias("a"), F.col("rpid").alias("b"))
     c = components(links)
-    all_ = df.select("pid").join(c.withColumnRenamed("id", "pid"), "pid", "left").select("pid", F.coalesce("component", "pid").alias("top"))
-    all_ = staged(all_, "tops")
+    tops = at.join(c.withColumnRenamed("id", "pid"), "pid", "left").select(*dims, F.coalesce("component", "pid").alias("top"))
+    all_ = staged(df.select("pid", *dims).join(tops, dims).select("pid", "top"), "tops")
     n = all_.groupBy("top").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points)
     if max_points is not None:
         n = n.where(F.col("_n") <= max_points)
@@ -98,16 +102,16 @@ def cluster(df: DataFrame, min_points: int = 1, max_points: int | None = None, t
 def dbscan(df: DataFrame, min_points: int = 6, eps: float = 1.0, dimensions: list[str] = ("X", "Y", "Z")) -> DataFrame:
     """ClusterID by density: cores have min_points rows within eps (itself included); clusters from 0 in order of their first
     core; a border row goes to the lowest-numbered cluster around; noise is -1."""
-    n = staged(radius_join(df, df, eps, list(dimensions)).select("lpid", "rpid"), "near")
-    core = staged(n.groupBy(F.col("lpid").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select("id"), "cores")
-    a = n.join(core.withColumnRenamed("id", "lpid"), "lpid")
-    cc = a.join(core.withColumnRenamed("id", "rpid"), "rpid").where("lpid < rpid").select(F.col("lpid").alias("a"), F.col("rpid").alias("b"))
-    comp = core.join(components(cc), "id", "left").select("id", F.coalesce("component", "id").alias("top"))
+    dims = list(dimensions)
+    at = places(df, dims)  # rows of one location are all cores or none, in the same clusters
+    core = staged(at.join(radius_counts(at, at, eps, dims).where(F.col("count") >= min_points), dims).select("pid", *dims), "cores")
+    cc = radius_join(core, core, eps, dims).where("lpid < rpid").select(F.col("lpid").alias("a"), F.col("rpid").alias("b"))
+    comp = core.join(components(cc).withColumnRenamed("id", "pid"), "pid", "left").select("pid", *dims, F.coalesce("component", "pid").alias("top"))
     comp = staged(comp, "tops")
-    # a core's own cluster is the least around it, as it has one
-    border = a.join(comp.select(F.col("id").alias("lpid"), "top"), "lpid").groupBy(F.col("rpid").alias("pid")).agg(F.min("top").alias("top"))
-    border = border.join(core.withColumnRenamed("id", "pid"), "pid", "left_anti")
-    return _numbered(df, comp.select(F.col("id").alias("pid"), "top").unionByName(border), "ClusterID", 0, -1)
+    rest = at.join(core.select("pid"), "pid", "left_anti")
+    border = radius_join(rest, comp, eps, dims, keep=("top",)).groupBy(F.col("lpid").alias("pid")).agg(F.min("top").alias("top"))
+    tops = comp.select(*dims, "top").unionByName(rest.join(border, "pid").select(*dims, "top"))
+    return _numbered(df, df.select("pid", *dims).join(tops, dims).select("pid", "top"), "ClusterID", 0, -1)
 
 
 def lloydkmeans(df: DataFrame, k: int = 10, dimensions: list[str] = ("X", "Y", "Z"), maxiters: int = 10) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.dims import drop_view
 from ..functions.expression import assignment
 from ..session import staged
 from ..spatial.components import independent
-from ..spatial.neighbors import radius_join
+from ..spatial.neighbors import places, radius_join
 from .assign import _type
 from .select import _beside, ranged
 
@@ -42,11 +42,11 @@ def sample(df: DataFrame, radius: float | None = None, cell: float | None = None
     if (radius is None) == (cell is None):
         raise ValueError("give a radius or a cell")
     r = radius if radius is not None else cell * math.sqrt(3) / 2
-    d = df.select("pid", "X", "Y", "Z")
+    d = places(df, ["X", "Y", "Z"])  # of rows at one location only the first can stay
     links = radius_join(d, d, r, ["X", "Y", "Z"]).where("lpid < rpid").select(F.col("lpid").alias("a"), F.col("rpid").alias("b"))
     kept = independent(d.select(F.col("pid").alias("id"), F.col("pid").alias("rank"), _tile(r)), links).withColumnRenamed("id", "pid")
     if dimension:
-        return df.drop(dimension).join(kept, "pid").withColumn(dimension, F.col("kept").cast("int")).drop("kept")
+        return df.drop(dimension).join(kept, "pid", "left").withColumn(dimension, F.coalesce("kept", F.lit(False)).cast("int")).drop("kept")
     return df.join(kept.where("kept").select("pid"), "pid", "left_semi")
 
 

@@ -1,4 +1,4 @@
-"""Queries of the point-cloud operators over the driver's tables, and their SQL."""
+"""Queries of the point-cloud operators over all located points, and their SQL."""
 
 from __future__ import annotations
 
@@ -9,34 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dims import as_cloud
+from ..functions.numbers import with_location
 from ..operators import assign, features, ground, mesh, neighborhood, order, partition, register, sample, select, stats
 from ..session import read, shared_dir
 from ..sources import binary, tables, text
 from ..streaming import operators as streaming
+from .data_queries import LOCATED_SQL
 from .pipeline import Pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-CLOUD = """cloud AS (SELECT pid, geom_coordinates[1] AS X, geom_coordinates[2] AS Y, geom_coordinates[3] AS Z,
-  coalesce(classification, 0) AS Classification, coalesce(gpstime, 0) AS GpsTime, coalesce(pointsourceid, 0) AS PointSourceId,
+CLOUD = f"""{LOCATED_SQL.strip()},
+  cloud AS (SELECT pid, l.x AS X, l.y AS Y, l.z AS Z, coalesce(f.file_id, 0) AS OriginId,
+  coalesce(f.classification, 0) AS Classification, coalesce(f.gpstime, 0) AS GpsTime, coalesce(f.pointsourceid, 0) AS PointSourceId,
   pid % 3 + 1 AS ReturnNumber, greatest(pid % 3 + 1, pid % 4 + 1) AS NumberOfReturns, CASE WHEN pid % 97 = 0 THEN 1 ELSE 0 END AS EdgeOfFlightLine
-  FROM point_features WHERE geom_coordinates[1] IS NOT NULL AND geom_coordinates[2] IS NOT NULL AND geom_coordinates[3] IS NOT NULL)"""
-SMALL = """small AS (SELECT p_partkey AS pid, p_size * 10.0::DOUBLE AS X, round((p_retailprice - 900) * 100) AS Y, (p_partkey % 10)::DOUBLE AS Z,
-  CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END AS Classification FROM part)"""
+  FROM located l JOIN point_features f USING (pid))"""
+SMALL = f"""{CLOUD}, small AS (SELECT pid, round((X - 412000) * 100) AS X, round((Y - 5207000) * 100) AS Y, round(Z * 100) AS Z,
+  CASE WHEN Classification = 2 THEN 2 ELSE 1 END AS Classification, PointSourceId FROM cloud)"""
 
 
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points with a whole coordinate array."""
-    p = read(spark, sf_dir, "point_features")
-    g = lambda k: f"geom_coordinates[{k}]"
-    p = p.where(F.size("geom_coordinates") == 3).where(f"{g(0)} is not null and {g(1)} is not null and {g(2)} is not null")
-    return as_cloud(p, "pid", X=g(0), Y=g(1), Z=g(2), Classification="classification", GpsTime="gpstime", PointSourceId="pointsourceid", ReturnNumber="pid % 3 + 1", NumberOfReturns="greatest(pid % 3 + 1, pid % 4 + 1)", EdgeOfFlightLine="if(pid % 97 = 0, 1, 0)")
+    """All points with a location."""
+    p = with_location(read(spark, sf_dir, "point_features")).dropna(subset=["x", "y", "z"])
+    return as_cloud(p, "pid", X="x", Y="y", Z="z", OriginId="file_id", Classification="classification", GpsTime="gpstime", PointSourceId="pointsourceid", ReturnNumber="pid % 3 + 1", NumberOfReturns="greatest(pid % 3 + 1, pid % 4 + 1)", EdgeOfFlightLine="if(pid % 97 = 0, 1, 0)")
 
 
 def small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as points of whole coordinates, so that distances and their ties are exact."""
-    return as_cloud(read(spark, sf_dir, "part"), "p_partkey", X="p_size * 10.0D", Y="round((p_retailprice - 900) * 100)", Z="p_partkey % 10", Classification="if(p_partkey % 5 = 0, 2, 1)")
+    """The same points in whole centimetres from a corner, so that distances and their ties are exact."""
+    p = with_location(read(spark, sf_dir, "point_features")).dropna(subset=["x", "y", "z"])
+    return as_cloud(p, "pid", X="rint((x - 412000) * 100)", Y="rint((y - 5207000) * 100)", Z="rint(z * 100)", OriginId="file_id", Classification="if(classification = 2, 2, 1)", PointSourceId="pointsourceid")
 
 
 def query(name: str, sql: str | None = None, of: Callable = cloud):
@@ -186,9 +188,9 @@ query("griddecimation", "o AS (SELECT min(X) AS ox, min(Y) AS oy FROM cloud), g
 query("label_duplicates", "SELECT pid, CAST(coalesce(CASE WHEN Classification = lag(Classification) OVER (ORDER BY pid) AND PointSourceId = lag(PointSourceId) OVER (ORDER BY pid) THEN 1 ELSE 0 END, 0) AS INT) AS Duplicate FROM cloud")(
     lambda c: sample.label_duplicates(c, "Classification", "PointSourceId").select("pid", "Duplicate")
 )
-query("sample", of=small)(lambda c: sample.sample(c, 200).select("pid"))
+query("sample", of=small)(lambda c: sample.sample(c, 500).select("pid"))
 query("fps", of=small)(lambda c: sample.fps(c, 40).select("pid"))
-query("relaxationdartthrowing", of=small)(lambda c: sample.relaxationdartthrowing(c, 60, 800.0, 0.7).select("pid"))
+query("relaxationdartthrowing", of=small)(lambda c: sample.relaxationdartthrowing(c, 60, 5000.0, 0.7).select("pid"))
 
 # ---- statistics -----------------------------------------------------------------
 
@@ -220,11 +222,28 @@ query("raster_radius", "p AS (SELECT pid, Z, (X - 412000) / 100 AS u, (Y - 52070
 # ---- neighbourhoods ---------------------------------------------------------------
 
 D2 = "(a.X - b.X) * (a.X - b.X) + (a.Y - b.Y) * (a.Y - b.Y) + (a.Z - b.Z) * (a.Z - b.Z)"
-NN = f"d AS (SELECT a.pid AS l, b.pid AS r, {D2} AS d2, b.Z AS bz, b.Classification AS bc FROM small a, small b), nn AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY d2, r) AS p FROM d)"
+D2XY = "(a.X - b.X) * (a.X - b.X) + (a.Y - b.Y) * (a.Y - b.Y)"
+PAIR = f"a.pid AS l, b.pid AS r, {D2} AS d2, {D2XY} AS d2xy, a.Z AS az, b.Z AS bz, a.Classification AS ac, b.Classification AS bc, a.PointSourceId AS al, b.PointSourceId AS bl"
+#: All pairs within 50 m in the plane, by cells.
+NEAR = f"""here AS (SELECT *, CAST(floor(X / 5000) AS BIGINT) AS ca, CAST(floor(Y / 5000) AS BIGINT) AS cb FROM small),
+  around AS (SELECT * EXCLUDE (ca, cb), ca + da AS ca, cb + db AS cb FROM here, (SELECT unnest([-1, 0, 1]) AS da), (SELECT unnest([-1, 0, 1]) AS db)),
+  near AS (SELECT {PAIR} FROM here a JOIN around b ON a.ca = b.ca AND a.cb = b.cb WHERE {D2XY} < 25000000)"""
+
+
+def nearest(name: str, k: int, left: str = "TRUE", right: str = "TRUE", d: str = "d2", of: tuple[str, str] = ("TRUE", "TRUE")) -> str:
+    """SQL: ``name``, the rows of ``near`` in order (p) of distance, complete to place k: rows with k near ones take those,
+    others look at all. Conditions on the two rows: in terms of ``near``, and (``of``) of ``small``."""
+    return f"""{name}_c AS (SELECT * FROM near WHERE {left} AND {right}), {name}_k AS (SELECT l FROM {name}_c WHERE {d} < 25000000 GROUP BY l HAVING count(*) >= {k}),
+  {name}_f AS (SELECT * FROM small WHERE {of[0]} AND pid NOT IN (SELECT l FROM {name}_k)),
+  {name}_a AS (SELECT * FROM {name}_c WHERE l IN (SELECT l FROM {name}_k) UNION ALL SELECT {PAIR} FROM {name}_f a, (SELECT * FROM small WHERE {of[1]}) b),
+  {name} AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY {d}, r) AS p FROM {name}_a)"""
+
+
+NN = f"{NEAR}, {nearest('nn', 12)}"
 query("nndistance_kth", f"{NN} SELECT l AS pid, round(sqrt(max(d2)), 6) AS NNDistance FROM nn WHERE p <= 9 GROUP BY l", small)(lambda c: neighborhood.nndistance(c, 8).select("pid", *r6("NNDistance")))
 query("nndistance_avg", f"{NN} SELECT l AS pid, round(sum(sqrt(d2)) / 8, 6) AS NNDistance FROM nn WHERE p <= 9 GROUP BY l", small)(lambda c: neighborhood.nndistance(c, 8, "avg").select("pid", *r6("NNDistance")))
-query("radialdensity", f"d AS (SELECT a.pid AS l FROM small a, small b WHERE {D2} < 10000) SELECT l AS pid, round(count(*) / (4.0 / 3 * 3.14159 * 1000000) * 1000000, 6) AS RadialDensity FROM d GROUP BY l", small)(
-    lambda c: neighborhood.radialdensity(c, 100).select("pid", F.round(F.col("RadialDensity") * 1e6, 6).alias("RadialDensity"))
+query("radialdensity", f"{NEAR} SELECT l AS pid, round(count(*) / (4.0 / 3 * 3.14159 * 1000000000) * 1000000000, 6) AS RadialDensity FROM near WHERE d2 < 1000000 GROUP BY l", small)(
+    lambda c: neighborhood.radialdensity(c, 1000).select("pid", F.round(F.col("RadialDensity") * 1e9, 6).alias("RadialDensity"))
 )
 query("lof", f"{NN}, k AS (SELECT l, max(sqrt(d2)) AS kd FROM nn WHERE p <= 11 GROUP BY l), lr AS (SELECT n.l, 1 / avg(greatest(sqrt(d2), kd)) AS lrd FROM nn n JOIN k ON n.r = k.l WHERE p <= 11 GROUP BY n.l) SELECT n.l AS pid, round(avg(o.lrd) / max(s.lrd), 5) AS LocalOutlierFactor FROM nn n JOIN lr o ON n.r = o.l JOIN lr s ON n.l = s.l WHERE p <= 11 GROUP BY n.l", small)(
     lambda c: neighborhood.lof(c, 10).select("pid", F.round("LocalOutlierFactor", 5).alias("LocalOutlierFactor"))
@@ -236,40 +255,50 @@ SQL["reciprocity"] = SQL["reciprocity"].replace("* 12.5 AS", "* 12.5::DOUBLE AS"
 query("outlier_statistical", f"{NN}, m AS (SELECT l, sum(sqrt(d2)) / 8 AS d FROM nn WHERE p <= 9 GROUP BY l), t AS (SELECT avg(d) + 2 * stddev_samp(d) AS t FROM m) SELECT s.pid, CAST(CASE WHEN d >= t THEN 7 ELSE Classification END AS INT) AS Classification FROM small s JOIN m ON m.l = s.pid, t", small)(
     lambda c: neighborhood.outlier(c).select("pid", F.col("Classification").cast("int"))
 )
-query("outlier_radius", f"d AS (SELECT a.pid AS l, count(*) AS n FROM small a, small b WHERE {D2} < 1600 GROUP BY 1) SELECT s.pid, CAST(CASE WHEN n <= 2 THEN 7 ELSE Classification END AS INT) AS Classification FROM small s JOIN d ON d.l = s.pid", small)(
-    lambda c: neighborhood.outlier(c, "radius", 2, 40.0).select("pid", F.col("Classification").cast("int"))
+query("outlier_radius", f"{NEAR}, d AS (SELECT l, count(*) AS n FROM near WHERE d2 < 160000 GROUP BY 1) SELECT s.pid, CAST(CASE WHEN n <= 2 THEN 7 ELSE Classification END AS INT) AS Classification FROM small s JOIN d ON d.l = s.pid", small)(
+    lambda c: neighborhood.outlier(c, "radius", 2, 400.0).select("pid", F.col("Classification").cast("int"))
 )
-query("cluster", of=small)(lambda c: neighborhood.cluster(c, 2, tolerance=35.0).select("pid", "ClusterID"))
-query("dbscan", of=small)(lambda c: neighborhood.dbscan(c, 4, 60.0).select("pid", "ClusterID"))
+query("cluster", of=small)(lambda c: neighborhood.cluster(c, 2, tolerance=100.0).select("pid", "ClusterID"))
+query("dbscan", of=small)(lambda c: neighborhood.dbscan(c, 4, 150.0).select("pid", "ClusterID"))
 query("lloydkmeans", of=small)(lambda c: neighborhood.lloydkmeans(c, 6, maxiters=5).groupBy("ClusterID").agg(F.count(F.lit(1)).alias("count")))
 query("neighborclassifier", f"{NN}, v AS (SELECT l, bc, count(*) AS n FROM nn WHERE p <= 7 GROUP BY 1, 2) SELECT s.pid, CAST(coalesce(v.bc, s.Classification) AS INT) AS Classification FROM small s LEFT JOIN v ON v.l = s.pid AND v.n > 3.5", small)(
     lambda c: neighborhood.neighborclassifier(c, 7).select("pid", F.col("Classification").cast("int"))
 )
-query("radiusassign", "h AS (SELECT DISTINCT a.pid FROM small a, small b WHERE a.Classification = 1 AND b.Classification = 2 AND (a.X - b.X) * (a.X - b.X) + (a.Y - b.Y) * (a.Y - b.Y) < 900) SELECT s.pid, CAST(CASE WHEN h.pid IS NOT NULL THEN 8 ELSE Classification END AS INT) AS Classification FROM small s LEFT JOIN h ON h.pid = s.pid", small)(
-    lambda c: neighborhood.radiusassign(c, "Classification[1:1]", "Classification[2:2]", 30.0, "Classification = 8").select("pid", F.col("Classification").cast("int"))
+query("radiusassign", f"{NEAR}, h AS (SELECT DISTINCT l AS pid FROM near WHERE ac = 1 AND bc = 2 AND d2xy < 40000) SELECT s.pid, CAST(CASE WHEN h.pid IS NOT NULL THEN 8 ELSE Classification END AS INT) AS Classification FROM small s LEFT JOIN h ON h.pid = s.pid", small)(
+    lambda c: neighborhood.radiusassign(c, "Classification[1:1]", "Classification[2:2]", 200.0, "Classification = 8").select("pid", F.col("Classification").cast("int"))
 )
-query("hag_nn", "d AS (SELECT a.pid, a.Z, b.Z AS gz, (a.X - b.X) * (a.X - b.X) + (a.Y - b.Y) * (a.Y - b.Y) AS d2, row_number() OVER (PARTITION BY a.pid ORDER BY (a.X - b.X) * (a.X - b.X) + (a.Y - b.Y) * (a.Y - b.Y), b.pid) AS p FROM small a, small b WHERE a.Classification <> 2 AND b.Classification = 2), h AS (SELECT pid, max(Z) - coalesce(arg_min(CASE WHEN d2 = 0 THEN gz END, CASE WHEN d2 = 0 THEN p END), sum(gz / nullif(d2, 0)) / sum(1 / nullif(d2, 0))) AS h FROM d WHERE p <= 3 GROUP BY pid) SELECT s.pid, round(coalesce(h, 0), 6) AS HeightAboveGround FROM small s LEFT JOIN h ON h.pid = s.pid", small)(
+HAG = f"{NEAR}, {nearest('d', 3, 'ac <> 2', 'bc = 2', 'd2xy', ('Classification <> 2', 'Classification = 2'))}"
+query("hag_nn", f"{HAG}, h AS (SELECT l AS pid, max(az) - coalesce(arg_min(CASE WHEN d2xy = 0 THEN bz END, CASE WHEN d2xy = 0 THEN p END), sum(bz / nullif(d2xy, 0)) / sum(1 / nullif(d2xy, 0))) AS h FROM d WHERE p <= 3 GROUP BY l) SELECT s.pid, round(coalesce(h, 0), 6) AS HeightAboveGround FROM small s LEFT JOIN h ON h.pid = s.pid", small)(
     lambda c: neighborhood.hag_nn(c, 3).select("pid", *r6("HeightAboveGround"))
 )
 query("hag_delaunay", of=small)(lambda c: mesh.hag_delaunay(c, 6).select("pid", *r6("HeightAboveGround")))
-query("zsmooth", "d AS (SELECT a.pid, b.Z AS bz FROM small a, small b WHERE a.pid <> b.pid AND (a.X - b.X) * (a.X - b.X) + (a.Y - b.Y) * (a.Y - b.Y) < 2500), s AS (SELECT pid, quantile_cont(bz, 0.5) AS z FROM d GROUP BY pid) SELECT small.pid, coalesce(s.z, small.Z) AS Smooth FROM small LEFT JOIN s ON s.pid = small.pid", small)(
-    lambda c: neighborhood.zsmooth(c, "Smooth", 50.0).select("pid", "Smooth")
+query("zsmooth", f"{NEAR}, d AS (SELECT l AS pid, bz FROM near WHERE l <> r AND d2xy < 250000), s AS (SELECT pid, quantile_cont(bz, 0.5) AS z FROM d GROUP BY pid) SELECT small.pid, coalesce(s.z, small.Z) AS Smooth FROM small LEFT JOIN s ON s.pid = small.pid", small)(
+    lambda c: neighborhood.zsmooth(c, "Smooth", 500.0).select("pid", "Smooth")
 )
-TWO = f"e AS (SELECT a.pid, a.Z - b.Z AS dz, a.Classification AS t, b.Classification AS p, {D2} AS d2, row_number() OVER (PARTITION BY a.pid ORDER BY {D2}, b.pid) AS r FROM small a, small b WHERE a.pid % 2 = 0 AND b.pid % 2 = 1), f AS (SELECT b.pid, {D2} AS d2, row_number() OVER (PARTITION BY b.pid ORDER BY {D2}, a.pid) AS r FROM small a, small b WHERE a.pid % 2 = 0 AND b.pid % 2 = 1)"
-query("delta", f"{TWO} SELECT min(dz) AS min, max(dz) AS max, round(avg(dz), 6) AS mean FROM e WHERE r = 1", small)(
-    lambda c: neighborhood.delta(c.where("pid % 2 = 0"), c.where("pid % 2 = 1"), ["Z"]).select("min", "max", *r6("mean"))
+ONE_SIDE, OTHER_SIDE = "PointSourceId < 20", "PointSourceId >= 20"
+TWO = f"{NEAR}, {nearest('e', 1, 'al < 20', 'bl >= 20', 'd2', (ONE_SIDE, OTHER_SIDE))}, {nearest('f', 1, 'al >= 20', 'bl < 20', 'd2', (OTHER_SIDE, ONE_SIDE))}"
+query("delta", f"{TWO} SELECT min(az - bz) AS min, max(az - bz) AS max, round(avg(az - bz), 6) AS mean FROM e WHERE p = 1", small)(
+    lambda c: neighborhood.delta(c.where(ONE_SIDE), c.where(OTHER_SIDE), ["Z"]).select("min", "max", *r6("mean"))
 )
-query("chamfer", f"{TWO} SELECT round((SELECT sum(d2) FROM e WHERE r = 1) + (SELECT sum(d2) FROM f WHERE r = 1), 3) AS chamfer", small)(
-    lambda c: neighborhood.chamfer(c.where("pid % 2 = 0"), c.where("pid % 2 = 1")).select(F.round("chamfer", 3).alias("chamfer"))
+query("chamfer", f"{TWO} SELECT round((SELECT sum(d2) FROM e WHERE p = 1) + (SELECT sum(d2) FROM f WHERE p = 1), 3) AS chamfer", small)(
+    lambda c: neighborhood.chamfer(c.where(ONE_SIDE), c.where(OTHER_SIDE)).select(F.round("chamfer", 3).alias("chamfer"))
 )
-query("hausdorff", f"{TWO} SELECT round(greatest((SELECT max(sqrt(d2)) FROM e WHERE r = 1), (SELECT max(sqrt(d2)) FROM f WHERE r = 1)), 6) AS hausdorff, round(greatest((SELECT avg(sqrt(d2)) FROM e WHERE r = 1), (SELECT avg(sqrt(d2)) FROM f WHERE r = 1)), 6) AS modified", small)(
-    lambda c: neighborhood.hausdorff(c.where("pid % 2 = 0"), c.where("pid % 2 = 1")).select(*r6("hausdorff", "modified"))
+query("hausdorff", f"{TWO} SELECT round(greatest((SELECT max(sqrt(d2)) FROM e WHERE p = 1), (SELECT max(sqrt(d2)) FROM f WHERE p = 1)), 6) AS hausdorff, round(greatest((SELECT avg(sqrt(d2)) FROM e WHERE p = 1), (SELECT avg(sqrt(d2)) FROM f WHERE p = 1)), 6) AS modified", small)(
+    lambda c: neighborhood.hausdorff(c.where(ONE_SIDE), c.where(OTHER_SIDE)).select(*r6("hausdorff", "modified"))
+)
+CONFUSION = f"{TWO}, m AS (SELECT ac::BIGINT AS truth, bc::BIGINT AS predicted, count(*) AS n FROM e WHERE p = 1 GROUP BY 1, 2)"
+query("eval", f"{CONFUSION} SELECT truth, predicted, n AS count FROM m", small)(lambda c: neighborhood.confusion(c.where(OTHER_SIDE), c.where(ONE_SIDE)))
+query("eval_scores", f"{CONFUSION}, t AS (SELECT label, sum(CASE WHEN truth = label AND predicted = label THEN n ELSE 0 END) AS tp, sum(CASE WHEN truth = label THEN n ELSE 0 END) AS sup, sum(CASE WHEN predicted = label THEN n ELSE 0 END) AS cal, sum(n) AS tot FROM m, (SELECT truth AS label FROM m UNION SELECT predicted FROM m) GROUP BY label) SELECT CAST(label AS BIGINT) AS label, CAST(sup AS BIGINT) AS support, round(tp / (sup + cal - tp), 6) AS iou, round(2 * tp / (sup + cal), 6) AS f1, round(tp / cal, 6) AS precision, round(tp / sup, 6) AS sensitivity, round((tot - sup - cal + tp) / (tot - sup), 6) AS specificity, round((tot - sup - cal + 2 * tp) / tot, 6) AS accuracy FROM t", small)(
+    lambda c: neighborhood.evaluate(c.where(OTHER_SIDE), c.where(ONE_SIDE)).select(F.col("label").cast("bigint").alias("label"), F.col("support").cast("bigint").alias("support"), *r6("iou", "f1", "precision", "sensitivity", "specificity", "accuracy"))
 )
-query("eval", f"{TWO} SELECT t::BIGINT AS truth, p::BIGINT AS predicted, count(*) AS count FROM e WHERE r = 1 GROUP BY 1, 2", small)(lambda c: neighborhood.confusion(c.where("pid % 2 = 1"), c.where("pid % 2 = 0")))
-query("eval_scores", of=small)(lambda c: neighborhood.evaluate(c.where("pid % 2 = 1"), c.where("pid % 2 = 0")))
 
 # ---- geometry ---------------------------------------------------------------------
 
+def _files(c: DataFrame) -> DataFrame:
+    """A view a scan file."""
+    return c.withColumn("view_id", F.col("OriginId"))
+
+
 query("eigenvalue_sum", f"{NN}, n AS (SELECT l, b.X, b.Y, b.Z FROM nn JOIN small b ON b.pid = nn.r WHERE p <= 11) SELECT l AS pid, round(var_samp(X) + var_samp(Y) + var_samp(Z), 4) AS EigenvalueSum FROM n GROUP BY l", small)(
     lambda c: features.covariancefeatures(c, 10, ["EigenvalueSum"], mode="raw").select("pid", F.round("EigenvalueSum", 4).alias("EigenvalueSum"))
 )
@@ -281,9 +310,9 @@ query("estimaterank", of=small)(lambda c: features.estimaterank(c).select("pid",
 query("planefit", of=small)(lambda c: features.planefit(c).select("pid", *r6("PlaneFit")))
 query("miniball", of=small)(lambda c: features.miniball(c).select("pid", *r6("Miniball")))
 query("optimalneighborhood", of=small)(lambda c: features.optimalneighborhood(c).select("pid", "OptimalKNN", *r6("OptimalRadius")))
-query("delaunay", of=small)(lambda c: mesh.delaunay(c, tile=1000.0))
-query("faceraster", of=small)(lambda c: mesh.faceraster(c, mesh.delaunay(c, tile=1000.0), 50.0, (0.0, 0.0), 12, 200))
-query("m3c2", of=small)(lambda c: register.m3c2(c.where("pid % 2 = 0"), c.where("pid % 2 = 1"), c.where("pid % 3 = 0"), 120.0, 60.0, 20.0).select("pid", *r6("m3c2_distance", "m3c2_uncertainty"), "m3c2_count1", "m3c2_count2"))
+query("delaunay", of=small)(lambda c: mesh.delaunay(_files(c)))
+query("faceraster", of=small)(lambda c: mesh.faceraster(c, mesh.delaunay(_files(c)), 500.0, (0.0, 0.0), 100_000, 100_000))
+query("m3c2", of=small)(lambda c: register.m3c2(c.where(ONE_SIDE), c.where(OTHER_SIDE), c, 1500.0, 1000.0, 500.0).select("pid", *r6("m3c2_distance", "m3c2_uncertainty"), "m3c2_count1", "m3c2_count2"))
 query("icp", of=small)(lambda c: register.icp(c, assign.transformation(c, "1 0 0 2 0 1 0 -1 0 0 1 1 0 0 0 1"), max_iter=8)[0].select("pid", *(F.round(a, 3).alias(a) for a in "XYZ")))
 
 # ---- ground -----------------------------------------------------------------------
@@ -294,12 +323,12 @@ query("elm", "b AS (SELECT min(X) AS x, min(Y) AS y FROM cloud), c AS (SELECT pi
 query("skewnessbalancing", "m AS (SELECT avg(Z) AS m FROM cloud), v AS (SELECT pid, Z, Z - m AS v FROM cloud, m), s AS (SELECT pid, Z, row_number() OVER w AS n, sum(v) OVER w AS s1, sum(v * v) OVER w AS s2, sum(v * v * v) OVER w AS s3 FROM v WINDOW w AS (ORDER BY Z, pid ROWS UNBOUNDED PRECEDING)), k AS (SELECT pid, Z, n, s2 - s1 * s1 / n AS m2, s3 - 3 * s1 / n * s2 + 2 * s1 * s1 * s1 / n / n AS m3 FROM s), z AS (SELECT pid, Z, n, CASE WHEN n > 1 AND m2 > 1e-12 THEN sqrt(n) * m3 / pow(m2, 1.5) END AS sk FROM k), t AS (SELECT pid, Z, n, sk, sk > 0 AND lag(sk) OVER (ORDER BY n) <= 0 AS turn FROM z), x AS (SELECT max(CASE WHEN turn THEN n END) AS cut, arg_max(sk, n) AS last FROM t) SELECT pid, CASE WHEN cut IS NOT NULL THEN CASE WHEN n < cut THEN 2 ELSE 1 END WHEN last <= 0 THEN 2 ELSE 1 END AS Classification FROM t, x")(
     lambda c: ground.skewnessbalancing(c).select("pid", F.col("Classification").cast("int"))
 )
-query("sparsesurface", of=small)(lambda c: ground.sparsesurface(c, 60.0).select("pid", F.col("Classification").cast("int")))
+query("sparsesurface", of=small)(lambda c: ground.sparsesurface(c, 200.0).select("pid", F.col("Classification").cast("int")))
 query("pmf")(lambda c: ground.pmf(c, 5.0, max_window_size=40.0).select("pid", F.col("Classification").cast("int")))
 query("smrf")(lambda c: ground.smrf(c, 5.0).select("pid", F.col("Classification").cast("int")))
 query("csf")(lambda c: ground.csf(c, 5.0, iterations=60).select("pid", F.col("Classification").cast("int")))
 query("litree")(lambda c: ground.litree(c.withColumn("HeightAboveGround", F.greatest(F.col("Z") - 140, F.lit(0.0)))).groupBy("ClusterID").agg(F.count(F.lit(1)).alias("count")))
-query("supervoxel", of=small)(lambda c: ground.supervoxel(features.normal(c, 8), resolution=100.0).select("pid", "ClusterID"))
+query("supervoxel", of=small)(lambda c: ground.supervoxel(features.normal(c, 8), resolution=500.0).select("pid", "ClusterID"))
 
 # ---- sources, sinks, pipelines, streams ---------------------------------------------
 

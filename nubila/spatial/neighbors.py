@@ -32,45 +32,59 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, dims: list[str
     return j.where(F.col("d2") < float(radius) ** 2).select("lpid", "rpid", "d2", *keep)
 
 
-def _nearest(tree: VPTree, queries: np.ndarray, k: int, start: float, limit: np.ndarray | None):
-    """(query, point, distance) of the k nearest: radii double until each query has k, or all points."""
+def places(df: DataFrame, dims: list[str]) -> DataFrame:
+    """One row a distinct location: pid (its least), n (its rows) and ``dims``, staged."""
+    return staged(df.select("pid", *(F.col(d).cast("double").alias(d) for d in dims)).groupBy(*dims).agg(F.min("pid").cast("bigint").alias("pid"), F.count(F.lit(1)).alias("n")), "places")
+
+
+def radius_counts(left: DataFrame, right: DataFrame, radius: float, dims: list[str]) -> DataFrame:
+    """(``dims``, count): of each row of ``left`` (``places``) the rows of ``right`` (``places``) nearer than the radius.
+
+    Nothing is paired: each cell of the Voronoi partition counts in a tree, locations with
+    their rows, crowded segments as a whole.
+    """
+    dims = list(dims)
+    part = fit_partition(right, dims, "euclidean")
+    r = assigned(right.select("n", *dims), dims, part, 0.0).where("home").select("cell", "n", *dims)
+    l = assigned(left.select(*dims), dims, part, radius).select("cell", *dims)  # noqa: E741
+
+    def run(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        q = lp[dims].to_numpy(float)
+        n = VPTree(rp[dims].to_numpy(float), METRICS["euclidean"]).count(q, radius, rp["n"].to_numpy()) if len(rp) else np.zeros(len(q))
+        return pd.DataFrame({**{d: q[:, k] for k, d in enumerate(dims)}, "count": n.astype(np.int64)})
+
+    some = l.groupBy("cell").cogroup(r.groupBy("cell")).applyInPandas(run, ", ".join(f"`{d}` double" for d in dims) + ", count bigint")
+    return some.groupBy(*dims).agg(F.sum("count").alias("count"))
+
+
+def _nearest(tree: VPTree, queries: np.ndarray, k: int, limit: np.ndarray | None):
+    """(query, point, distance) of the k nearest and all that tie with them: a segment of the tree around
+    each query bounds the distance, one search within it finds the rest."""
     n = len(tree.points)
     k = min(k, n)
-    todo, out = np.arange(len(queries)), []
-    span = np.linalg.norm(tree.points.max(axis=0) - tree.points.min(axis=0)) if n else 0.0
-    away = np.linalg.norm(queries - tree.points.mean(axis=0), axis=1) if n else None
-    radius = np.full(len(queries), start)
+    bound = tree.bound(queries, k)
     if limit is not None:
-        radius = np.minimum(radius, limit)
-    while len(todo) and n:
-        q, p, d = tree.within(queries[todo], radius[todo])
-        got = np.bincount(q, minlength=len(todo))
-        most = (span + away)[todo] * 1.001 + 1e-9
-        done = (got >= k) | (radius[todo] >= most)
-        if limit is not None:
-            done |= radius[todo] >= limit[todo]
-        hit = done[q]
-        out.append((todo[q[hit]], p[hit], d[hit]))
-        todo = todo[~done]
-        radius[todo] = np.minimum(radius[todo] * 1.7, limit[todo]) if limit is not None else radius[todo] * 1.7
-    if not out:
-        none = np.empty(0, dtype=np.int64)
-        return none, none, np.empty(0)
-    return tuple(np.concatenate(x) for x in zip(*out))
+        bound = np.minimum(bound, limit)
+    return tree.within(queries, bound * (1 + 1e-9) + 1e-9)
 
 
 def knn_join(left: DataFrame, right: DataFrame, k: int, dims: list[str], left_id: str = "pid", right_id: str = "pid", keep: tuple[str, ...] = (), cell_rows: int = 4000) -> DataFrame:
     """(lpid, rpid, d2, place, ``keep`` of the right): the k nearest right rows of each left row, ties by rpid, place from 1.
 
+    Left rows of one location ask once, and of right rows at one location only the first k take part,
+    found before anything is gathered.
     A Voronoi partition of the right side. In its own cell a left row finds k
     candidates; their farthest bounds the distance, and by the triangle
     inequality only cells whose pivot is within d(nearest pivot) + 2 bound can
     hold a nearer one. Only rows whose bound reaches another cell are sent on.
     """
     dims = list(dims)
-    r = right.select(F.col(right_id).cast("bigint").alias("rpid"), *keep, *(F.col(d).cast("double").alias(f"_{i}") for i, d in enumerate(dims)))
-    l = left.select(F.col(left_id).cast("bigint").alias("lpid"), *(F.col(d).cast("double").alias(f"_{i}") for i, d in enumerate(dims)))  # noqa: E741
     at = [f"_{i}" for i in range(len(dims))]
+    r = right.select(F.col(right_id).cast("bigint").alias("rpid"), *(F.col(d).cast("double").alias(f"_{i}") for i, d in enumerate(dims)))
+    r = r.withColumn("_n", F.row_number().over(Window.partitionBy(*at).orderBy("rpid"))).where(F.col("_n") <= k).drop("_n")
+    rows = left.select(F.col(left_id).cast("bigint").alias("_id"), *(F.col(d).cast("double").alias(f"_{i}") for i, d in enumerate(dims)))
+    asked = staged(rows.groupBy(*at).agg(F.min("_id").alias("lpid")), "asked")
+    l, of = asked, list(at)  # noqa: E741
     flat = at if len(at) > 1 else [at[0], at[0]]
     part = fit_partition(r.select(*at) if len(at) > 1 else r.select(at[0], F.col(at[0]).alias("_1")), flat if len(at) > 1 else ["_0", "_1"], "euclidean", cell_rows)
     if len(at) == 1:
@@ -91,9 +105,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, dims: list[str], left_id
         bound = np.full(len(q), np.inf)
         frames = []
         if len(pts):
-            tree = VPTree(pts, METRICS["euclidean"])
-            area = np.prod(np.maximum(np.ptp(pts[:, :2], axis=0), 1e-9))
-            i, p, d = _nearest(tree, q, k, max(1e-9, float(np.sqrt(area * (k + 1) / len(pts)))), None)
+            i, p, d = _nearest(VPTree(pts, METRICS["euclidean"]), q, k, None)
             order = np.lexsort((rid[p], d, i))
             i, p, d = i[order], p[order], d[order]
             place = np.arange(len(i)) - np.searchsorted(i, i, "left")
@@ -115,9 +127,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, dims: list[str], left_id
         if not len(lp) or not len(rp):
             return pd.DataFrame(columns=["lpid", "rpid", "d"])
         pts, q, limit = rp[at].to_numpy(float), lp[at].to_numpy(float), lp["bound"].to_numpy(float)
-        tree = VPTree(pts, METRICS["euclidean"])
-        area = np.prod(np.maximum(np.ptp(pts[:, :2], axis=0), 1e-9))
-        i, p, d = _nearest(tree, q, k, max(1e-9, float(np.sqrt(area * (k + 1) / len(pts)))), limit)
+        i, p, d = _nearest(VPTree(pts, METRICS["euclidean"]), q, k, limit)
         return pd.DataFrame({"lpid": lp["lpid"].to_numpy()[i], "rpid": rp["rpid"].to_numpy()[p], "d": d})
 
     far = more.groupBy("cell").cogroup(right_cells.groupBy("cell")).applyInPandas(others, "lpid bigint, rpid bigint, d double")
@@ -125,6 +135,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, dims: list[str], left_id
     w = Window.partitionBy("lpid").orderBy("d", "rpid")
     out = all_.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
     out = out.select("lpid", "rpid", (F.col("d") * F.col("d") / scale).alias("d2"), "place")
+    out = rows.join(asked, of).select("_id", "lpid").join(out, "lpid").select(F.col("_id").alias("lpid"), "rpid", "d2", "place")
     if keep:
         out = out.join(right.select(F.col(right_id).cast("bigint").alias("rpid"), *keep), "rpid")
     return out

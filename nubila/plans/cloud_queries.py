@@ -14,7 +14,7 @@ from ..operators import assign, features, ground, mesh, neighborhood, order, par
 from ..session import read, shared_dir
 from ..sources import binary, tables, text
 from ..streaming import operators as streaming
-from .data_queries import LOCATED_SQL
+from .data_queries import LOCATED_SQL, P1_FOUND_SQL
 from .pipeline import Pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,6 +137,10 @@ query("straighten")(lambda c: assign.straighten(c, [(412000, 5207000, 100, 0), (
 query("reprojection")(lambda c: assign.reprojection(c, "EPSG:32632", "EPSG:3857").select("pid", *(F.round(a, 3).alias(a) for a in "XYZ")))
 query("georeference")(lambda c: assign.georeference(c.select("pid", "X", "Y", "Z", "GpsTime"), _track(c)).select("pid", *r6("X", "Y", "Z")))
 QUERIES["overlay"] = lambda spark, sf_dir: assign.overlay(cloud(spark, sf_dir), read(spark, sf_dir, "regions"), "Zone", "cls").select("pid", F.col("Zone").cast("bigint"))
+SQL["overlay"] = P1_FOUND_SQL.split("SELECT 'near'")[0].rstrip() + """,
+inside AS (SELECT o.pid, min(o.region_id) AS region_id FROM crossed o JOIN regions g USING (region_id) WHERE g.cls IS NOT NULL AND o.place = 1
+  AND NOT EXISTS (SELECT 1 FROM crossed h WHERE h.place > 1 AND h.region_id = o.region_id AND h.part = o.part AND h.pid = o.pid) GROUP BY o.pid)
+SELECT pid, CAST(coalesce(g.cls, 0) AS BIGINT) AS Zone FROM located LEFT JOIN inside USING (pid) LEFT JOIN regions g ON g.region_id = inside.region_id"""
 
 
 def _track(c: DataFrame) -> DataFrame:
@@ -155,7 +159,7 @@ query("randomize")(lambda c: order.randomize(c, 7).select("pid", "X", "Y", "Z"))
 query("mortonorder", "b AS (SELECT min(X) AS x0, max(X) AS x1, min(Y) AS y0, max(Y) AS y1 FROM cloud), q AS (SELECT cloud.*, CAST(floor((X - x0) / (x1 - x0) * 2147483647) AS BIGINT) AS qx, CAST(floor((Y - y0) / (y1 - y0) * 2147483647) AS BIGINT) AS qy FROM cloud, b), m AS (SELECT pid, X, Y, list_sum(list_transform(range(31), lambda k: (((qx >> k) & 1) << (2 * k)) + (((qy >> k) & 1) << (2 * k + 1)))) AS code FROM q) SELECT row_number() OVER (ORDER BY code, pid) - 1 AS pid, X, Y FROM m")(
     lambda c: order.mortonorder(c).select("pid", "X", "Y")
 )
-query("mortonorder_reverse")(lambda c: order.mortonorder(c, reverse=True).select("pid", "X", "Y"))
+query("mortonorder_reverse", "b AS (SELECT min(X) AS x0, max(X) AS x1, min(Y) AS y0, max(Y) AS y1, CAST(floor(log2(floor(sqrt(count(*))))) AS BIGINT) + 1 AS bits FROM cloud), q AS (SELECT cloud.*, bits, CAST(floor((X - x0) / (x1 - x0) * ((1::BIGINT << bits) - 1)) AS BIGINT) AS qx, CAST(floor((Y - y0) / (y1 - y0) * ((1::BIGINT << bits) - 1)) AS BIGINT) AS qy FROM cloud, b), m AS (SELECT pid, X, Y, list_sum(list_transform(range(bits), lambda k: (((qx >> k) & 1) << (2 * bits - 1 - 2 * k)) + (((qy >> k) & 1) << (2 * bits - 2 - 2 * k)))) AS code FROM q) SELECT row_number() OVER (ORDER BY code, pid) - 1 AS pid, X, Y FROM m")(lambda c: order.mortonorder(c, reverse=True).select("pid", "X", "Y"))
 query("groupby", "SELECT pid, dense_rank() OVER (ORDER BY PointSourceId) - 1 AS view_id FROM cloud")(lambda c: partition.groupby(c, "PointSourceId").select("pid", F.col("view_id").cast("bigint")))
 query("divider_partition", "p AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS pos, count(*) OVER () AS n FROM cloud) SELECT pid, CAST(pos // CAST(ceil(n / 7) AS BIGINT) AS BIGINT) AS view_id FROM p")(lambda c: partition.divider(c, "partition", count=7).select("pid", F.col("view_id").cast("bigint")))
 query("divider_round_robin", "SELECT pid, (row_number() OVER (ORDER BY pid) - 1) % 5 AS view_id FROM cloud")(lambda c: partition.divider(c, "round_robin", count=5).select("pid", F.col("view_id").cast("bigint")))
@@ -240,6 +244,13 @@ def nearest(name: str, k: int, left: str = "TRUE", right: str = "TRUE", d: str =
 
 
 NN = f"{NEAR}, {nearest('nn', 12)}"
+
+
+def closure(links: str) -> str:
+    """SQL: ``reach``, all pairs (l, r) of rows that links (l, r; both ways, with each row's own) connect."""
+    return f"reach AS (SELECT l, r FROM {links} UNION SELECT reach.l, k.r FROM reach JOIN {links} k ON reach.r = k.l)"
+
+
 query("nndistance_kth", f"{NN} SELECT l AS pid, round(sqrt(max(d2)), 6) AS NNDistance FROM nn WHERE p <= 9 GROUP BY l", small)(lambda c: neighborhood.nndistance(c, 8).select("pid", *r6("NNDistance")))
 query("nndistance_avg", f"{NN} SELECT l AS pid, round(sum(sqrt(d2)) / 8, 6) AS NNDistance FROM nn WHERE p <= 9 GROUP BY l", small)(lambda c: neighborhood.nndistance(c, 8, "avg").select("pid", *r6("NNDistance")))
 query("radialdensity", f"{NEAR} SELECT l AS pid, round(count(*) / (4.0 / 3 * 3.14159 * 1000000000) * 1000000000, 6) AS RadialDensity FROM near WHERE d2 < 1000000 GROUP BY l", small)(
@@ -260,6 +271,8 @@ query("outlier_radius", f"{NEAR}, d AS (SELECT l, count(*) AS n FROM near WHERE
 )
 query("cluster", of=small)(lambda c: neighborhood.cluster(c, 2, tolerance=100.0).select("pid", "ClusterID"))
 query("dbscan", of=small)(lambda c: neighborhood.dbscan(c, 4, 150.0).select("pid", "ClusterID"))
+SQL["cluster"] = f"WITH RECURSIVE {SMALL}, {NEAR}, links AS MATERIALIZED (SELECT l, r FROM near WHERE d2 < 10000), {closure('links')}, tops AS (SELECT l AS pid, min(r) AS top FROM reach GROUP BY l), kept AS (SELECT top, dense_rank() OVER (ORDER BY top) AS k FROM tops GROUP BY top HAVING count(*) >= 2) SELECT pid, CAST(coalesce(k, 0) AS BIGINT) AS ClusterID FROM tops LEFT JOIN kept USING (top)"
+SQL["dbscan"] = f"WITH RECURSIVE {SMALL}, {NEAR}, n AS MATERIALIZED (SELECT l, r FROM near WHERE d2 < 22500), core AS MATERIALIZED (SELECT l AS pid FROM n GROUP BY l HAVING count(*) >= 4), links AS MATERIALIZED (SELECT l, r FROM n WHERE l IN (FROM core) AND r IN (FROM core)), {closure('links')}, tops AS (SELECT l AS pid, min(r) AS top FROM reach GROUP BY l), numbers AS (SELECT top, dense_rank() OVER (ORDER BY top) - 1 AS k FROM tops GROUP BY top), beside AS (SELECT n.l AS pid, min(top) AS top FROM n JOIN tops ON n.r = tops.pid GROUP BY 1) SELECT small.pid, CAST(coalesce(k, -1) AS BIGINT) AS ClusterID FROM small LEFT JOIN beside USING (pid) LEFT JOIN numbers USING (top)"
 query("lloydkmeans", of=small)(lambda c: neighborhood.lloydkmeans(c, 6, maxiters=5).groupBy("ClusterID").agg(F.count(F.lit(1)).alias("count")))
 query("neighborclassifier", f"{NN}, v AS (SELECT l, bc, count(*) AS n FROM nn WHERE p <= 7 GROUP BY 1, 2) SELECT s.pid, CAST(coalesce(v.bc, s.Classification) AS INT) AS Classification FROM small s LEFT JOIN v ON v.l = s.pid AND v.n > 3.5", small)(
     lambda c: neighborhood.neighborclassifier(c, 7).select("pid", F.col("Classification").cast("int"))

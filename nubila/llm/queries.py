@@ -73,8 +73,15 @@ _GROUPS = " UNION ALL ".join((
     "SELECT 'returnnumber', pointsourceid, returnnumber FROM m",
 ))
 _MEASURED = f"WITH m AS (SELECT file_id, pointsourceid, {_NUMBER.format('prop_intensity')} AS intensity, {_NUMBER.format('prop_returnnumber')} AS returnnumber, {_AXIS} FROM point_features), v AS ({_GROUPS}), l AS (SELECT field, CAST(g AS BIGINT) AS group_id, list_sort(list(v)) AS l FROM v WHERE v IS NOT NULL AND g IS NOT NULL GROUP BY 1, 2), p AS (SELECT field, group_id, len(l) AS n, l[len(l) * 5 // 100 + 1] AS p5, l[len(l) * 50 // 100 + 1] AS p50, l[len(l) * 95 // 100 + 1] AS p95 FROM l)"
+#: What links connect, by a closure.
+_GROUPED = f"""WITH RECURSIVE here AS (SELECT pid, x, y, z, CAST(floor(x / 1.005) AS BIGINT) AS a, CAST(floor(y / 1.005) AS BIGINT) AS b FROM (SELECT pid, {_AXIS} FROM point_features) WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
+around AS (SELECT pid, x, y, z, a + da AS a, b + db AS b FROM here, (SELECT unnest([-1, 0, 1]) AS da), (SELECT unnest([-1, 0, 1]) AS db)),
+links AS MATERIALIZED (SELECT h.pid AS l, o.pid AS r FROM here h JOIN around o ON h.a = o.a AND h.b = o.b WHERE (h.x - o.x) ^ 2 + (h.y - o.y) ^ 2 + (h.z - o.z) ^ 2 < 1.005 ^ 2),
+reach AS (SELECT l, r FROM links UNION SELECT reach.l, k.r FROM reach JOIN links k ON reach.r = k.l)
+SELECT min(r) AS cluster_pid, l AS pid FROM reach GROUP BY l HAVING count(*) >= 10"""
 #: Exact percentiles; the sketches equal them in groups of up to K values.
 SQL = {
+    "p3_found": _GROUPED,
     "p5_found": _MEASURED + " SELECT field, group_id FROM p WHERE p95 - p5 > CASE field WHEN 'z' THEN 50 WHEN 'intensity' THEN 1200 ELSE 2.5 END",
     "p5_by_day": _MEASURED + " SELECT * FROM p WHERE field = 'intensity'",
 }

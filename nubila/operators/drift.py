@@ -142,17 +142,17 @@ def matched(old: pd.DataFrame, new: pd.DataFrame, threshold: float, same_key: bo
 def changes_of(file_id: int, old: pd.DataFrame, new: pd.DataFrame, threshold: float, same_key: bool) -> list[tuple]:
     """(file_id, dimname, change_kind, old name, score) of one version against the one before it."""
     pairs = matched(old, new, threshold, same_key)
+    o, n = ({c: x[c].tolist() for c in ("name", "key", "kind", "width")} for x in (old, new))
     out = []
     for i, j, score in pairs:
-        o, n = old.iloc[i], new.iloc[j]
-        if o["name"] != n["name"]:
-            out.append((file_id, n["key"], "renamed", o["name"], score))
-        if isinstance(o["kind"], str) and isinstance(n["kind"], str):
-            wide = pd.notna(o["width"]) and pd.notna(n["width"]) and o["width"] != n["width"]
-            if o["kind"] != n["kind"] or wide:
-                out.append((file_id, n["key"], "retyped", o["name"], score))
-    out += [(file_id, old["key"].iat[i], "removed", old["name"].iat[i], 0.0) for i in set(range(len(old))) - {p[0] for p in pairs}]
-    out += [(file_id, new["key"].iat[j], "added", None, 0.0) for j in set(range(len(new))) - {p[1] for p in pairs}]
+        if o["name"][i] != n["name"][j]:
+            out.append((file_id, n["key"][j], "renamed", o["name"][i], score))
+        if isinstance(o["kind"][i], str) and isinstance(n["kind"][j], str):
+            a, b = o["width"][i], n["width"][j]
+            if o["kind"][i] != n["kind"][j] or (a == a and b == b and a is not None and b is not None and a != b):
+                out.append((file_id, n["key"][j], "retyped", o["name"][i], score))
+    out += [(file_id, o["key"][i], "removed", o["name"][i], 0.0) for i in sorted(set(range(len(old))) - {p[0] for p in pairs})]
+    out += [(file_id, n["key"][j], "added", None, 0.0) for j in sorted(set(range(len(new))) - {p[1] for p in pairs})]
     return out
 
 
@@ -174,12 +174,31 @@ def _versions(cols: DataFrame, files: DataFrame, of, fields: str) -> DataFrame:
     both = before(files).select("file_id", F.explode(F.array(F.struct(F.col("file_id").alias("of"), F.lit(True).alias("new")), F.struct(F.col("prev").alias("of"), F.lit(False).alias("new")))).alias("e")).select("file_id", "e.of", "e.new")
     rows = both.join(cols.withColumnRenamed("file_id", "of"), "of").drop("of")
 
-    def run(key, pdf):
-        pdf = pdf.sort_values("key")
-        found = of(int(key[0]), pdf[~pdf["new"]].reset_index(drop=True), pdf[pdf["new"]].reset_index(drop=True))
-        return pd.DataFrame(found, columns=[c.split()[0] for c in fields.split(", ")])
-
-    return rows.groupBy("file_id").applyInPandas(run, fields)
+    names = [c.split()[0] for c in fields.split(", ")]
+
+    def run(batches):
+        # rows come file by file, a file's old columns before its new ones; the last file of a batch may go on
+        rest = None
+        for pdf in batches:
+            rest = pdf if rest is None else pd.concat((rest, pdf), ignore_index=True)
+            ids = rest["file_id"].to_numpy()
+            cut = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0
+            if cut:
+                yield pd.DataFrame(each(rest.iloc[:cut]), columns=names)
+                rest = rest.iloc[cut:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield pd.DataFrame(each(rest), columns=names)
+
+    def each(pdf):
+        ids, new = pdf["file_id"].to_numpy(), pdf["new"].to_numpy(dtype=bool)
+        start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        found = []
+        for a, b in zip(start, np.append(start[1:], len(ids))):
+            m = a + int((~new[a:b]).sum())
+            found += of(int(ids[a]), pdf.iloc[a:m], pdf.iloc[m:b])
+        return found
+
+    return rows.repartition("file_id").sortWithinPartitions("file_id", "new", "key").mapInPandas(run, fields)
 
 
 def _renamed(old: pd.DataFrame, new: pd.DataFrame, threshold: float) -> list[tuple]:

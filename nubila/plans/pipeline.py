@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expression import condition
 from ..operators import assign, features, ground, mesh, neighborhood, order, partition, register, sample, select, stats
-from ..sources import binary, tables, text
+from ..sources import binary, ept, tables, text
 
 
 @dataclass
@@ -137,6 +137,7 @@ def _setup() -> None:
         r(f"readers.{name}", f, kind="reader")
     for k in binary.KINDS:
         r(f"readers.{k}", lambda spark, filename, _k=k, **kw: binary.read_points(spark, _k, filename, **kw), kind="reader")
+    r("readers.ept", _read_ept, kind="reader")
     r("readers.tindex", _read_index, kind="reader")
     r("readers.stac", _read_stac, kind="reader")
     r("readers.pgpointcloud", lambda spark, filename=None, connection="", table="", where=None, **kw: tables.read_jdbc(spark, connection, table, where, **kw), kind="reader")
@@ -150,7 +151,7 @@ def _setup() -> None:
         r(f"writers.{k}", lambda df, filename, _k=k, **kw: binary.write_points(df, _k, filename, **kw), kind="writer")
 
     why = {
-        "codec or vendor library that is not installed": "readers.i3s readers.slpk readers.copc readers.ept readers.draco readers.e57 readers.hdf readers.icebridge readers.matlab readers.mbio readers.nitf readers.osg readers.rdb readers.rxp readers.spz readers.tiledb readers.optech readers.fbi writers.copc writers.ept_addon writers.gltf writers.fbi writers.draco writers.e57 writers.matlab writers.nitf writers.spz writers.tiledb writers.pgpointcloud writers.fbx filters.h3",
+        "codec or vendor library that is not installed": "readers.i3s readers.slpk readers.copc readers.draco readers.e57 readers.hdf readers.icebridge readers.matlab readers.mbio readers.nitf readers.osg readers.rdb readers.rxp readers.spz readers.tiledb readers.optech readers.fbi writers.copc writers.ept_addon writers.gltf writers.fbi writers.draco writers.e57 writers.matlab writers.nitf writers.spz writers.tiledb writers.pgpointcloud writers.fbx filters.h3",
         "method that is not data processing at scale": "filters.greedyprojection filters.poisson filters.cpd filters.teaser filters.trajectory",
         "shell command, which pipelines may not run": "filters.shell",
         "language runtime that is not installed": "filters.julia",
@@ -182,6 +183,12 @@ def _read_index(spark, filename, bounds=None, where=None, reader="readers.arrow"
     return select.crop(out, bounds=b) if b else out
 
 
+def _read_ept(spark, filename, bounds=None, resolution=None, **_):
+    b = _bounds(bounds) if bounds else None
+    b = (b[0], b[2], *([b[4]] if len(b) > 4 else []), b[1], b[3], *([b[5]] if len(b) > 4 else [])) if b else None
+    return ept.read_ept(spark, filename, b, resolution)
+
+
 def _read_stac(spark, filename, reader="readers.arrow", reader_args=None, **filters):
     hrefs = sorted(r["href"] for r in tables.stac_items(spark, filename, **filters).collect())
     if not hrefs:

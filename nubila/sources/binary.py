@@ -11,13 +11,14 @@ import math
 import os
 
 import struct
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions.dims import SPARK, canonical, type_of
 
@@ -502,34 +503,41 @@ class _Wrote(WriterCommitMessage):
     rows: int
 
 
-class _Writer(DataSourceWriter):
-    """One whole file a task, in a folder: las, ply, pcd, sbet or bpf."""
+class _Writer(DataSourceArrowWriter):
+    """One whole file a task, in a folder: las, ply, pcd, sbet or bpf. Rows come as Arrow batches.
+
+    Files have a name of their own in every write, so appending replaces nothing; they get it when all tasks are
+    done, and what a failed job wrote is removed.
+    """
 
     def __init__(self, options, schema):
-        self.options, self.schema = options, schema
+        self.options, self.schema, self.job = options, schema, uuid.uuid4().hex[:12]
 
-    def write(self, rows):
+    def write(self, batches):
         from pyspark import TaskContext
 
         names = [f.name for f in self.schema.fields]
-        data = list(rows)
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return _Wrote("", 0)
+        data = pa.Table.from_batches(parts)
         folder, kind = self.options["path"].removeprefix("file://"), self.options["kind"]
         os.makedirs(folder, exist_ok=True)
         c = TaskContext.get()
-        path = os.path.join(folder, f"part-{c.partitionId():05d}.{kind}")
-        cols = {n: np.array([r[k] for r in data], dtype=float) for k, n in enumerate(names)}
+        path = os.path.join(folder, f".part-{self.job}-{c.partitionId():05d}-{c.taskAttemptId()}.{kind}")
+        cols = {n: data.column(n).cast(pa.float64() if n != "pid" else pa.int64(), safe=False).fill_null(0).to_numpy() for n in names}
         if "pid" in cols:
             order = np.argsort(cols.pop("pid"), kind="stable")
             cols = {n: v[order] for n, v in cols.items()}
         cols.pop("view_id", None)
-        if data:
-            tmp = f"{path}.{c.taskAttemptId()}.tmp"
-            WRITERS[kind](tmp, cols, self.options)
-            os.replace(tmp, path)
-        return _Wrote(path if data else "", len(data))
+        WRITERS[kind](path, cols, self.options)
+        return _Wrote(path, data.num_rows)
 
     def commit(self, messages):
-        pass
+        for m in messages:
+            if m and m.path:
+                folder, name = os.path.split(m.path)
+                os.replace(m.path, os.path.join(folder, name[1:]))
 
     def abort(self, messages):
         for m in messages:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nubila.functions import dims, expression
 from nubila.operators import assign, features, ground, mesh, neighborhood, order, partition, register, sample, select, stats
 from nubila.plans.pipeline import REGISTRY, Pipeline, PipelineError
-from nubila.sources import binary, tables, text
+from nubila.sources import binary, ept, tables, text
 from nubila.spatial.components import components, independent
 from nubila.spatial.neighbors import knn_join, radius_join
 from nubila.streaming import operators as streaming
@@ -305,3 +305,48 @@ def test_comparison_of_two_clouds(spark):
     r = register.m3c2(a, b, cloud(spark, [(5, 5, 0)]), 1.0, 1.0, 2.0).first()
     assert r.m3c2_distance == pytest.approx(0.5, abs=0.02) and r.m3c2_significant == 1 and r.m3c2_count1 > 20
     assert neighborhood.hausdorff(a, b).first().hausdorff <= 0.5 + 1e-9
+
+
+# ---- octree folders and appending ---------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["binary", "zstandard"])
+def test_ept_reads_only_what_bounds_and_resolution_ask_for(spark, tmp_path, kind):
+    import zstandard
+
+    rng = np.random.default_rng(4)
+    schema = [{"name": a, "type": "signed", "size": 4, "scale": 0.01, "offset": 100.0} for a in "XYZ"] + [{"name": "Intensity", "type": "unsigned", "size": 2}]
+    info = {"bounds": [0, 0, 0, 64, 64, 64], "dataType": kind, "schema": schema, "span": 16}
+    (tmp_path / "ept-data").mkdir()
+    (tmp_path / "ept-hierarchy").mkdir()
+    (tmp_path / "ept.json").write_text(json.dumps(info))
+    all_, tree, sub = [], {"0-0-0-0": 5}, {}
+    keys = [(0, 0, 0, 0)] + [(1, i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)] + [(2, 3, 3, 3)]
+    for key in keys:
+        name, size = "-".join(map(str, key)), 64 / 2 ** key[0]
+        xyz = np.round((np.array(key[1:]) + rng.uniform(0.05, 0.95, (5, 3))) * size, 2)
+        rec = np.zeros(5, np.dtype([("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("Intensity", "<u2")]))
+        for a, c in enumerate("XYZ"):
+            rec[c] = np.rint((xyz[:, a] - 100) / 0.01)
+        rec["Intensity"] = key[0]
+        raw = rec.tobytes()
+        (tmp_path / "ept-data" / f"{name}.{'bin' if kind == 'binary' else 'zst'}").write_bytes(raw if kind == "binary" else zstandard.compress(raw))
+        all_ += [(*map(float, p), key[0]) for p in xyz]
+        (sub if key[0] == 2 or key == (1, 1, 1, 1) else tree)[name] = 5
+    tree["1-1-1-1"] = -1
+    (tmp_path / "ept-hierarchy" / "0-0-0-0.json").write_text(json.dumps(tree))
+    (tmp_path / "ept-hierarchy" / "1-1-1-1.json").write_text(json.dumps(sub))
+    got = lambda **kw: sorted((round(r.X, 2), round(r.Y, 2), round(r.Z, 2), int(r.Intensity)) for r in ept.read_ept(spark, str(tmp_path), **kw).collect())
+    assert got() == sorted(all_)
+    assert got(resolution=2.0) == sorted(p for p in all_ if p[3] <= 1) and got(resolution=1e9) == sorted(p for p in all_ if p[3] == 0)
+    assert got(bounds=(0, 0, 31, 31)) == sorted(p for p in all_ if p[0] <= 31 and p[1] <= 31)
+    (tmp_path / "ept-data" / f"1-0-0-0.{'bin' if kind == 'binary' else 'zst'}").unlink()  # not opened
+    assert got(bounds=(33, 33, 33, 64, 64, 64)) == sorted(p for p in all_ if min(p[:3]) >= 33)
+    assert got(bounds=(200, 200, 300, 300)) == []
+
+
+def test_appending_files_keeps_those_before(spark, tmp_path):
+    d = spark.createDataFrame([(i, float(i), 2.0, 3.0, 2) for i in range(10)], "pid bigint, X double, Y double, Z double, Classification smallint")
+    for _ in range(2):
+        binary.write_points(d.repartition(2), "las", str(tmp_path / "out"))
+    assert binary.read_points(spark, "las", str(tmp_path / "out")).count() == 20 and all(p.name.startswith("part-") for p in (tmp_path / "out").iterdir())

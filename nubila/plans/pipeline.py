@@ -197,8 +197,8 @@ def _read_stac(spark, filename, reader="readers.arrow", reader_args=None, **filt
 
 
 # Formats of file endings.
-READER_OF = {"las": "las", "laz": "las", "txt": "text", "csv": "text", "xyz": "text", "pts": "pts", "ptx": "ptx", "ply": "ply", "pcd": "pcd", "obj": "obj", "parquet": "arrow", "feather": "arrow", "sbet": "sbet", "out": "sbet", "smrmsg": "smrmsg", "qi": "qfit", "bin": "terrasolid", "bpf": "bpf", "asc": "gdal", "tif": "gdal"}
-WRITER_OF = {"las": "las", "laz": "las", "txt": "text", "csv": "text", "xyz": "text", "json": "text", "geojson": "ogr", "ply": "ply", "pcd": "pcd", "parquet": "arrow", "feather": "arrow", "sbet": "sbet", "bpf": "bpf", "asc": "gdal", "tif": "gdal"}
+READER_OF = {"las": "las", "laz": "las", "txt": "text", "csv": "text", "xyz": "text", "pts": "pts", "ptx": "ptx", "ply": "ply", "pcd": "pcd", "obj": "obj", "parquet": "arrow", "feather": "arrow", "sbet": "sbet", "out": "sbet", "smrmsg": "smrmsg", "qi": "qfit", "bin": "terrasolid", "bpf": "bpf", "asc": "gdal"}
+WRITER_OF = {"las": "las", "laz": "las", "txt": "text", "csv": "text", "xyz": "text", "json": "text", "geojson": "ogr", "ply": "ply", "pcd": "pcd", "parquet": "arrow", "feather": "arrow", "sbet": "sbet", "bpf": "bpf", "asc": "gdal"}
 
 
 def inferred(filename: str, writer: bool) -> str:

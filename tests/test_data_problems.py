@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from nubila.operators import drift, nearby, units
+from nubila.plans import data_queries
 from nubila.spatial.geometry import in_ring
 from nubila.spatial.metrics import METRICS
 from nubila.spatial.vptree import VPTree
@@ -104,6 +105,20 @@ def test_changes_by_the_naming_rule(spark):
     assert changed(spark, s, same_key=True) == {(2, "X", "renamed"), (2, "Intensity", "renamed"), (2, "Intensity", "retyped"), (2, "wavegain", "renamed"), (2, "Red", "removed"), (2, "Extra".lower(), "added")}
 
 
+def test_changes_by_the_naming_rule_read_no_values_and_match_nothing(spark, tmp_path):
+    # no raw_records here; RigTemp is like RigTemperature but no name of it; file 3 lists no columns, file 4 an alternate beside its entry
+    s = [(1, 0, "X", "double", 8), (1, 1, "RigTemperature", "float", 4), (1, 2, "Red", "uint16", 2), (2, 0, "coord X", "float", None), (2, 1, "RigTemp", "float", 4), (2, 2, "RED", " ", None)]
+    s += [(4, 5, "X", "int32", 4), (4, 1, "easting", "double", 8), (5, 0, "easting", "float64", None), (5, 3, "X", "uint8", 1)]
+    spark.createDataFrame(s, "file_id bigint, dim_pos int, dim_name string, dim_type string, dim_size int").write.parquet(f"{tmp_path}/file_schemas.parquet")
+    spark.createDataFrame([(1, 7, 1), (2, 7, 4), (3, 7, 5), (4, 7, 9), (5, 7, 10)], "file_id bigint, series_id bigint, series_seq int").write.parquet(f"{tmp_path}/scan_files.parquet")
+    catalogue(spark).write.parquet(f"{tmp_path}/dimensions.parquet")
+    d = data_queries.p2_found(spark, str(tmp_path))
+    want = {(2, "X", "renamed"), (2, "X", "retyped"), (2, "Red", "renamed"), (2, "rigtemperature", "removed"), (2, "rigtemp", "added")}
+    want |= {(3, "X", "removed"), (3, "Red", "removed"), (3, "rigtemp", "removed"), (4, "X", "added")}
+    assert sorted(map(tuple, d.collect())) == sorted(want)
+    assert "Pandas" not in d._jdf.queryExecution().toString()
+
+
 def test_matching_finds_renames_outside_the_catalogue(spark):
     s = [(1, 0, "RigTemperature", "float", 4), (1, 1, "Foo", "uint8", 1), (2, 0, "RigTemp", "float", 4), (2, 1, "Quux", "int64", 8)]
     rec = [(f, n, json.dumps({a: 20 + n, b: n})) for f, a, b in ((1, "RigTemperature", "Foo"), (2, "RigTemp", "Quux")) for n in range(3)]

@@ -30,11 +30,22 @@ def parse_header(line: str, separator: str | None = None) -> tuple[list[str], st
     return [canonical(n) for n in names if n], separator
 
 
+def _head(spark: SparkSession, path: str | list[str], n: int) -> list[str]:
+    """The first ``n`` lines of the first file by name that has so many. Spark itself begins with the largest file."""
+    d = spark.read.text(path)
+    for f in sorted(d.inputFiles()):
+        at = re.sub("^file:/*", "file:///", f)  # only this file is listed and read
+        rows = d.where(F.regexp_replace("_metadata.file_path", "^file:/*", "file:///") == at).limit(n).collect()
+        if len(rows) == n:
+            return [r["value"] for r in rows]
+    raise ValueError(f"no file of {path} has {n} lines")
+
+
 def read_text(spark: SparkSession, path: str | list[str], separator: str | None = None, header: str | None = None, skip: int = 0, ordered: bool = True) -> DataFrame:
     """Points of delimited text. Names from ``header`` or the first line behind ``skip``; a field that is no number is 0, a line
     with another number of fields is left out. ``ordered``: pid follows the lines of all files; else it is only unique."""
-    first = [r["value"] for r in spark.read.text(path).limit(skip + 1).collect()]
-    names, sep = parse_header(header if header is not None else first[skip], separator)
+    line = header if header is not None else _head(spark, path, skip + 1)[skip]
+    names, sep = parse_header(line, separator)
     d = _lines(spark, path, False)
     if skip:
         # the first lines of each file, few
@@ -42,7 +53,7 @@ def read_text(spark: SparkSession, path: str | list[str], separator: str | None
         heads = d.where(F.col("_s") == 0).withColumn("_n", at).where(F.col("_n") <= skip).select("pid")
         d = d.join(F.broadcast(heads), "pid", "left_anti")
     if header is None:  # wherever a file repeats it
-        d = d.where(F.col("value") != first[skip].rstrip("\r ").rstrip())
+        d = d.where(F.col("value") != line.rstrip("\r ").rstrip())
     if ordered:
         d = renumbered(d, F.asc("_f"), F.asc("_s"), F.asc("pid"))
     parts = F.split(F.trim("value"), r"\s+" if sep == " " else r"\s*" + re.escape(sep) + r"\s*")

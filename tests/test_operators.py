@@ -253,6 +253,13 @@ def test_pipelines(spark, tmp_path):
         REGISTRY["readers.e57"].run(spark, "x")
 
 
+def test_text_header_is_in_the_first_file_not_in_the_largest(spark, tmp_path):
+    (tmp_path / "a 1.txt").write_text('"X","Y","Z"\n1,2,3\n')
+    (tmp_path / "b.txt").write_text("".join(f"{k},5,6\n" for k in range(100)))
+    assert [(r.pid, r.X, r.Y, r.Z) for r in text.read_text(spark, str(tmp_path)).orderBy("pid").collect()] == [(0, 1, 2, 3)] + [(k + 1, k, 5, 6) for k in range(100)]
+    assert text.read_text(spark, str(tmp_path), header="X,Y,Z", skip=1).count() == 100  # a line of each file
+
+
 def test_partition_views(spark):
     d = tables.faux(spark, 10, (0, 9, 0, 9, 0, 9), "ramp")
     assert [r["count"] for r in stats.stats(partition.divider(d, count=3), ["X"]).orderBy("view_id").collect()] == [4, 4, 2]

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import sys
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import drop_view, rounded
 from ..functions.expression import condition
+from ..session import staged
 from .select import positions, prefixed, ranged
 
 
@@ -74,21 +78,107 @@ def splitter(df: DataFrame, length: float = 1000.0, origin_x: float | None = Non
     return d.drop("_dx", "_dy", "_ox", "_oy")
 
 
+#: Rows that one task of ``chipper`` splits to the end; bins counted, and rows that come to the driver, for the cuts of a round.
+TASK_ROWS, BINS, CUT_ROWS = 200_000, 65_536, 100_000
+
+
+def chip_ends(n: int, capacity: int) -> np.ndarray:
+    """Rows before each view, and all: as few views as ``capacity`` allows, of sizes that differ by one at most."""
+    views = -(-n // capacity)
+    return np.concatenate(([0], np.floor(np.cumsum(np.full(views, n / max(1, views))) + 0.5))).astype(np.int64)
+
+
+def _cuts(d: DataFrame, asks: dict[int, dict]) -> dict[int, tuple[float, int]]:
+    """Of each box asked for, (value, pid) of the ``k``-th row (from 0) along ``axis`` in order of (value, pid).
+
+    The rows in question are counted in bins until few enough are left to be looked at: bins of
+    the value between its bounds there, then, where one value has too many rows, of pid.
+    """
+    spark, bins, few = d.sparkSession, max(2, BINS // len(asks)), max(1, CUT_ROWS // len(asks))
+
+    def asked(which: list[int]) -> DataFrame:
+        rows = [(b, q["axis"] == "X", q["by_pid"], *q["v"], *q["p"], max(q["v"][1] / 2 - q["v"][0] / 2, 5e-324), q["p"][1] - q["p"][0]) for b in which for q in [asks[b]]]
+        t = spark.createDataFrame(rows, "_box bigint, _x boolean, _by_pid boolean, _v0 double, _v1 double, _p0 bigint, _p1 bigint, _vw double, _pw bigint")
+        j = d.join(F.broadcast(t), "_box").withColumn("_v", F.when(F.col("_x"), F.col("X")).otherwise(F.col("Y")))
+        return j.where("_v between _v0 and _v1 and pid between _p0 and _p1")
+
+    while many := [b for b, q in asks.items() if q["n"] > few]:
+        part = F.when(F.col("_by_pid"), (F.col("pid") - F.col("_p0")) / F.col("_pw")).otherwise((F.col("_v") / 2 - F.col("_v0") / 2) / F.col("_vw"))
+        g = asked(many).groupBy("_box", F.least(F.floor(part * bins), F.lit(bins - 1)).alias("_bin"))
+        rows = g.agg(F.count(F.lit(1)).alias("n"), F.min("_v"), F.max("_v"), F.min("pid"), F.max("pid")).collect()
+        for b, _, n, v0, v1, p0, p1 in sorted(rows, key=lambda r: (r[0], r[1])):
+            q = asks[b]
+            if q.get("found") is None and q["k"] < n:
+                q["found"] = {"n": n, "v": (v0, v1), "p": (p0, p1), "by_pid": v0 == v1}
+            elif q.get("found") is None:
+                q["k"] -= n
+        for b in many:
+            asks[b].update(asks[b].pop("found"))
+    t = asked(list(asks)).select("_box", "_v", "pid").toArrow()
+    box, v, pid = (t[c].to_numpy() for c in ("_box", "_v", "pid"))
+    order = np.lexsort((pid, v, box))
+    at = {b: order[np.searchsorted(box, b, sorter=order) + q["k"]] for b, q in asks.items()}
+    return {b: (float(v[i]), int(pid[i])) for b, i in at.items()}
+
+
 def chipper(df: DataFrame, capacity: int = 5000) -> DataFrame:
-    """Views of about equal size, at most ``capacity`` rows: boxes split at the median of the longer side, round by round.
+    """Views of about equal size, at most ``capacity`` rows: boxes split at a row of the longer side, ties by pid, until each is a view.
 
-    A round is one aggregation of the boxes' bounds and approximate medians, a
-    row a box, so log2(views) passes and no sort of all rows.
+    A round cuts all boxes that no task could hold, at exact rows (``_cuts``): a few aggregations,
+    in which nothing but counts moves. A task splits a box of at most ``TASK_ROWS`` rows to the end.
     """
-    n = df.count()
-    rounds = max(0, math.ceil(math.log2(max(1, n / capacity))))
-    d = df.withColumn("view_id", F.lit(0).cast("bigint"))
-    for _ in range(rounds):
-        b = d.groupBy("view_id").agg(F.min("X").alias("a"), F.max("X").alias("b"), F.min("Y").alias("c"), F.max("Y").alias("d"), F.percentile_approx("X", 0.5, 10_000).alias("mx"), F.percentile_approx("Y", 0.5, 10_000).alias("my"))
-        b = b.select("view_id", (F.col("b") - F.col("a") > F.col("d") - F.col("c")).alias("_wide"), "mx", "my")
-        up = F.when(F.col("_wide"), F.col("X") > F.col("mx")).otherwise(F.col("Y") > F.col("my"))
-        d = d.join(b, "view_id").withColumn("view_id", F.col("view_id") * 2 + up.cast("bigint")).drop("_wide", "mx", "my")
-    return d
+    most = sys.float_info.max
+    at = lambda c: F.greatest(F.lit(-most), F.least(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(most)), F.lit(most)), F.lit(most))).alias(c)
+    spark = df.sparkSession
+    chips = staged(df.select(F.col("pid").cast("bigint").alias("pid"), at("X"), at("Y")), "chips")
+    ends = chip_ends(chips.count(), capacity)
+    d = chips.withColumn("_box", F.lit(0).cast("bigint"))
+    # a box by its first view: the view behind its last, and the side that was split before
+    boxes = {0: (len(ends) - 1, "X")}
+    while large := {b: e for b, (e, _) in boxes.items() if e - b > 1 and ends[e] - ends[b] > TASK_ROWS}:
+        asks = {}
+        for b, n, x0, x1, y0, y1, p0, p1 in d.groupBy("_box").agg(F.count(F.lit(1)), *(f(c) for c in ("X", "Y", "pid") for f in (F.min, F.max))).collect():
+            if b in large:
+                v = {"X": (x0, x1), "Y": (y0, y1)}
+                axis = _longer(boxes[b][1], {a: v[a][1] - v[a][0] for a in v})
+                asks[b] = {"axis": axis, "k": int(ends[(b + large[b]) // 2] - ends[b]), "n": n, "v": v[axis], "p": (p0, p1), "by_pid": v[axis][0] == v[axis][1]}
+        cuts = _cuts(d, asks)
+        rows = [(b, (b + large[b]) // 2, asks[b]["axis"] == "X", *cuts[b]) for b in asks]
+        t = spark.createDataFrame(rows, "_box bigint, _right bigint, _x boolean, _cv double, _cp bigint")
+        v = F.when(F.col("_x"), F.col("X")).otherwise(F.col("Y"))
+        right = (v > F.col("_cv")) | (v == F.col("_cv")) & (F.col("pid") >= F.col("_cp"))
+        d = d.join(F.broadcast(t), "_box", "left").select("pid", "X", "Y", F.when(right, F.col("_right")).otherwise(F.col("_box")).alias("_box"))
+        for b, c, *_ in rows:
+            boxes[c], boxes[b] = (large[b], asks[b]["axis"]), (c, asks[b]["axis"])
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pid", kind="stable")
+        v = {a: pdf[a].to_numpy() for a in ("X", "Y")}
+        view = np.zeros(len(pdf), dtype=np.int64)
+        first = int(pdf["_box"].iat[0])
+        todo = [(first, *boxes[first], np.arange(len(pdf)))]
+        while todo:
+            b, e, axis, rows = todo.pop()
+            if e - b <= 1:
+                view[rows] = b
+                continue
+            with np.errstate(over="ignore"):
+                axis = _longer(axis, {a: v[a][rows].max() - v[a][rows].min() for a in v})
+            c = (b + e) // 2
+            by = rows[np.argsort(v[axis][rows], kind="stable")]
+            k = ends[c] - ends[b]
+            todo += [(b, c, axis, np.sort(by[:k])), (c, e, axis, np.sort(by[k:]))]
+        return pd.DataFrame({"pid": pdf["pid"].to_numpy(), "view_id": view})
+
+    views = d.groupBy("_box").applyInPandas(split, "pid bigint, view_id bigint")
+    df = df.drop("view_id")
+    return df.join(views, "pid").select(*df.columns, "view_id")
+
+
+def _longer(before: str, sides: dict[str, float]) -> str:
+    """The longer side; of equal ones that which was not split before."""
+    other = "Y" if before == "X" else "X"
+    return before if sides[before] > sides[other] else other
 
 
 def separatescanline(df: DataFrame, groupby: int = 1) -> DataFrame:

@@ -267,6 +267,50 @@ def test_partition_views(spark):
     assert partition.merge(d, d.drop("OffsetTime")).count() == 20
 
 
+def chips(p, capacity):
+    """View of each row: all rows sorted in each box, as one process does."""
+    n, view = len(p), np.zeros(len(p), int)
+    views = -(-n // capacity)
+    ends = [0, *(math.floor(t + 0.5) for t in np.cumsum(np.full(views, n / views)))]
+
+    def split(rows, b, e, before):
+        if e - b == 1:
+            view[rows] = b
+            return
+        side = np.ptp(p[rows], axis=0)
+        axis = before if side[before] > side[1 - before] else 1 - before
+        c = (b + e) // 2
+        by = sorted(rows, key=lambda i: (p[i][axis], i))
+        split(by[: ends[c] - ends[b]], b, c, axis)
+        split(by[ends[c] - ends[b] :], c, e, axis)
+
+    split(list(range(n)), 0, views, 0)
+    return view.tolist()
+
+
+@pytest.mark.parametrize("task_rows, cut_rows", [(10**6, 10**6), (60, 40)])
+def test_chipper_splits_at_exact_rows(spark, monkeypatch, task_rows, cut_rows):
+    monkeypatch.setattr(partition, "TASK_ROWS", task_rows)
+    monkeypatch.setattr(partition, "CUT_ROWS", cut_rows)
+    monkeypatch.setattr(partition, "BINS", 64)
+    rng = np.random.default_rng(2)
+    p = np.r_[rng.integers(0, 30, (500, 2)), np.full((300, 2), 7), [[10**9, 3]], rng.normal(50, 1, (100, 2))].astype(float)
+    rng.shuffle(p)
+    d = cloud(spark, [(*q, 0) for q in p])
+    got = partition.chipper(d, 20)
+    assert got.columns == [*d.columns, "view_id"] and column(got, "view_id") == chips(p, 20)
+    assert column(partition.chipper(d, 1000), "view_id") == [0] * len(p) and partition.chipper(d.limit(0), 20).count() == 0
+
+
+def test_chipper_plan_does_not_double_with_each_round(spark):
+    seen = []
+    d = spark.range(4096).select(F.col("id").alias("pid"), (F.col("id") % 64).cast("double").alias("X"), F.floor(F.col("id") / 64).cast("double").alias("Y"))
+    for capacity in (1024, 64):
+        plan = partition.chipper(d, capacity)._jdf.queryExecution().optimizedPlan().toString()
+        seen.append(plan.count("Join"))
+    assert seen[1] <= seen[0] + 10
+
+
 def test_stream_equals_batch(spark, tmp_path):
     d = spark.range(50).selectExpr("id pid", "timestamp_seconds(id * 60) t", "cast(id % 7 as double) Z", "cast(id as double) X", "0.0D Y")
     d.write.parquet(str(tmp_path / "in"))

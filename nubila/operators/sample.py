@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import drop_view
 from ..functions.expression import assignment
-from ..session import staged
+from ..session import discard, staged
 from ..spatial.components import independent
 from ..spatial.neighbors import places, radius_join
 from .assign import _type
@@ -127,23 +129,85 @@ def fps(df: DataFrame, count: int = 1000) -> DataFrame:
     return df.join(F.broadcast(order), "pid").drop("_k")
 
 
+#: Rows that come to the driver to be decided at once; taken rows up to which a task holds all of them.
+DARTS, HELD = 20_000, 100_000
+
+
+def _near(taken: DataFrame, radius: float) -> DataFrame:
+    """(_cX, _cY, _cZ, _qX, _qY, _qZ, _qid): taken rows in each cell of 2.5 radii that their ball can reach, at most eight."""
+    for a in "XYZ":
+        edge = F.lit(radius * (1 + 1e-6)) + F.abs(a) * 1e-12  # beyond what rounding can move
+        cell = lambda x: F.floor(x / (2.5 * radius))
+        taken = taken.withColumn(f"_c{a}", F.explode(F.sequence(cell(F.col(a) - edge), cell(F.col(a) + edge))))
+    return taken.select("_cX", "_cY", "_cZ", *(F.col(a).alias(f"_q{a}") for a in "XYZ"), F.col("pid").alias("_qid"))
+
+
+def _clear(d: DataFrame, taken: list[pd.DataFrame], radius: float) -> DataFrame:
+    """Rows of ``d`` that are not taken and that no taken row (pid, X, Y, Z) is nearer to than ``radius``."""
+    all_ = pd.concat(taken)
+    near = _near(d.sparkSession.createDataFrame(all_, "pid bigint, X double, Y double, Z double"), radius)
+    rows = d.withColumns({f"_c{a}": F.floor(F.col(a) / (2.5 * radius)) for a in "XYZ"})
+    off = [F.col(a) - F.col(f"_q{a}") for a in "XYZ"]
+    hit = ((off[0] * off[0] + off[1] * off[1] + off[2] * off[2]) < float(radius) ** 2) | (F.col("pid") == F.col("_qid"))
+    for a in "XYZ":
+        hit = hit & (rows[f"_c{a}"] == near[f"_c{a}"])
+    return rows.join(F.broadcast(near) if len(all_) <= HELD else near, hit, "left_anti").select(*d.columns)
+
+
+def _darts(xyz: np.ndarray, radius: float, most: int) -> list[int]:
+    """Rows taken one after the other, each unless one before is nearer than ``radius``; at most ``most``."""
+    free, out = np.ones(len(xyz), dtype=bool), []
+    for i in range(len(xyz)):
+        if free[i]:
+            out.append(i)
+            if len(out) == most:
+                break
+            off = xyz[i:] - xyz[i]
+            free[i:] &= ~(off[:, 0] * off[:, 0] + off[:, 1] * off[:, 1] + off[:, 2] * off[:, 2] < float(radius) ** 2)
+    return out
+
+
 def relaxationdartthrowing(df: DataFrame, count: int = 1000, radius: float = 1.0, decay: float = 0.9, terminal_radius: float = 0.001, shuffle: bool = True, seed: int = 0) -> DataFrame:
-    """Greedy disk sampling in a shuffled order; the radius shrinks by ``decay`` until ``count`` rows are taken."""
-    rank = F.xxhash64("pid", F.lit(seed)) if shuffle else F.col("pid")
-    d = staged(df.select("pid", "X", "Y", "Z", rank.alias("_r")), "darts")
-    kept = None
-    n, r = 0, radius
+    """Greedy disk sampling in a shuffled order; the radius shrinks by ``decay`` until ``count`` rows are taken.
+
+    What is taken stays taken. The first rows in order that are clear of all taken ones are decided
+    together, then the others are tried against what is new, so no rows are paired with each other.
+    The input is returned where it has fewer rows.
+    """
+    rank = F.xxhash64("pid", F.lit(seed)) if shuffle else F.col("pid").cast("bigint")
+    at = (F.coalesce(F.col(a).cast("double"), F.lit(math.nan)).alias(a) for a in "XYZ")
+    d = staged(df.select(F.col("pid").cast("bigint").alias("pid"), *at, rank.alias("_r")), "darts")
+    rows = d.count()
+    if rows < count:
+        discard(d)
+        return df
+    taken, n, r = [], 0, float(radius)
     while n < count and r >= terminal_radius:
-        # what is taken stays taken: it comes first and removes what is near it
-        order = d.withColumn("_k", F.lit(1)) if kept is None else d.join(kept.withColumn("_k", F.lit(0)), "pid", "left").fillna(1, ["_k"])
-        links = radius_join(d, d, r, ["X", "Y", "Z"]).where("lpid < rpid").select(F.col("lpid").alias("a"), F.col("rpid").alias("b"))
-        kept = staged(independent(order.select(F.col("pid").alias("id"), F.struct("_k", "_r", "pid").alias("rank"), _tile(r)), links).where("kept").select(F.col("id").alias("pid")), "kept")
-        n = kept.count()
+        clear = staged(_clear(d, taken, r), "clear") if taken else d
+        left = rows if clear is d else clear.count()
+        while left and n < count:
+            some = clear
+            if left > DARTS:
+                last = clear.agg(F.percentile_approx("_r", DARTS / left, 10_000)).first()[0]
+                some = clear.where(F.col("_r") <= last)
+            t = some.select("_r", "pid", *"XYZ").toArrow().to_pandas().sort_values(["_r", "pid"])
+            taken.append(t.iloc[_darts(t[list("XYZ")].to_numpy(float), r, count - n)].drop(columns="_r"))
+            n += len(taken[-1])
+            if left <= DARTS or n >= count:
+                break
+            rest = staged(_clear(clear.where(F.col("_r") > last), taken[-1:], r), "clear")
+            left = rest.count()
+            if clear is not d:
+                discard(clear)
+            clear = rest
+        if clear is not d:
+            discard(clear)
         r *= decay
-    if kept is None:
+    discard(d)
+    if not n:
         return df.limit(0)
-    first = d.join(kept, "pid").orderBy("_r", "pid").limit(count).select("pid")
-    return df.join(first, "pid", "left_semi")
+    first = df.sparkSession.createDataFrame(pd.concat(taken)[["pid"]], "pid bigint")
+    return df.join(F.broadcast(first) if n <= HELD else first, "pid", "left_semi")
 
 
 def label_duplicates(df: DataFrame, *dimensions: str) -> DataFrame:

@@ -311,6 +311,25 @@ def test_chipper_plan_does_not_double_with_each_round(spark):
     assert seen[1] <= seen[0] + 10
 
 
+@pytest.mark.parametrize("count, darts, shuffle", [(5, 20_000, True), (40, 20_000, True), (40, 30, True), (120, 30, False), (400, 20_000, True), (500, 30, True)])
+def test_dart_throwing_takes_one_row_after_the_other(spark, monkeypatch, count, darts, shuffle):
+    monkeypatch.setattr(sample, "DARTS", darts, raising=False)
+    monkeypatch.setattr(sample, "HELD", 60, raising=False)
+    monkeypatch.setattr(sample, "radius_join", lambda *a, **k: pytest.fail("rows are paired with each other"))
+    rng = np.random.default_rng(6)
+    p = np.r_[rng.integers(-40, 40, (250, 3)), np.full((130, 3), 3), rng.normal(0, 2, (50, 3)), [[math.nan, 0, 0]]].astype(float)
+    d = cloud(spark, p)
+    order_ = [r.pid for r in d.orderBy(F.xxhash64("pid", F.lit(3)) if shuffle else "pid").collect()]
+    taken, r = [], 30.0
+    while len(taken) < count and r >= 2:
+        for i in order_:
+            if len(taken) < count and i not in taken and not (((p[taken] - p[i]) ** 2).sum(axis=1) < r * r).any():
+                taken.append(i)
+        r *= 0.6
+    want = taken if count <= len(p) else order_
+    assert sorted(column(sample.relaxationdartthrowing(d, count, 30.0, 0.6, 2.0, shuffle, 3), "pid")) == sorted(want)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     d = spark.range(50).selectExpr("id pid", "timestamp_seconds(id * 60) t", "cast(id % 7 as double) Z", "cast(id as double) X", "0.0D Y")
     d.write.parquet(str(tmp_path / "in"))
